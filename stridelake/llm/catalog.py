@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from stridelake.llm.bpe import op4_bpe
 from stridelake.llm.simhash import op10_simhash
 
 
 def queries() -> dict:
     return {
+        "op4_bpe": op4_bpe,
         "op10_simhash": op10_simhash,
     }
 
