@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from stridelake.llm.bpe import op4_bpe
+from stridelake.llm.packing import op7_packing
 from stridelake.llm.simhash import op10_simhash
 
 
 def queries() -> dict:
     return {
         "op4_bpe": op4_bpe,
+        "op7_packing": op7_packing,
         "op10_simhash": op10_simhash,
     }
 
