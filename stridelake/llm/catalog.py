@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stridelake.llm.bpe import op4_bpe
+from stridelake.llm.langid import op6_langid
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.simhash import op10_simhash
 
@@ -10,6 +11,7 @@ from stridelake.llm.simhash import op10_simhash
 def queries() -> dict:
     return {
         "op4_bpe": op4_bpe,
+        "op6_langid": op6_langid,
         "op7_packing": op7_packing,
         "op10_simhash": op10_simhash,
     }
