@@ -5,6 +5,7 @@ from __future__ import annotations
 from stridelake.llm.bpe import op4_bpe
 from stridelake.llm.langid import op6_langid
 from stridelake.llm.packing import op7_packing
+from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op6_langid": op6_langid,
         "op7_packing": op7_packing,
+        "op9_quality_eb": op9_quality_eb,
         "op10_simhash": op10_simhash,
     }
 
