@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 A task encodes the distinct chunks of its rows together.  All their symbols
-stand in one linked array; an index maps each adjacent pair to its positions.
-The lowest active rank is taken again and again, applied to all positions of
-its pair from left to right, and only the lists of the two neighbouring pairs
-are touched.  A merge that uncovers a lower rank hands over to it at once, so
-each chunk sees its merges in exactly the order of rank, then position.
+stand in one linked array; an index maps each adjacent pair (by its rank) to
+all its positions.  The active ranks are taken in ascending order; each is
+applied to all positions of its pair at once, and only the lists of the
+neighbouring pairs are updated.  A pair can only hold what earlier merges made,
+so no merge uncovers a lower rank and every chunk sees its merges in the order
+of rank, then position; a file without that property is refused.
 
 Edge cases: null text counts as empty (no ids, empty decoded text); rows are
 independent, so repeated rows and ties do not matter; an empty table gives an
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 #: The pre-tokenizer's pattern (a fixed value of the byte-level format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by one Python worker, and characters encoded together.
-CACHE_CHUNKS = 400_000
-GROUP_CHARS = 1_000_000
+CACHE_CHUNKS = 800_000
+GROUP_CHARS = 6_000_000
 #: A space inside a run of white space: only there may a cut at spaces differ.
 _RUN = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
 
@@ -57,11 +59,20 @@ class PairIndexBpe:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         letters = byte_alphabet()
         value = {c: b for b, c in enumerate(letters)}
-        self.byte_ids = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        self.byte_ids = np.array([vocab[c] for c in letters], np.int64)
+        #: By rank: the two ids of a pair and the id they make.
+        self.rules: list[tuple[int, int, int]] = []
+        made: set[int] = set(self.byte_ids.tolist())
+        for pair in spec["model"]["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            rule = (vocab[a], vocab[b], vocab[a + b])
+            if rule[2] in made or not {rule[0], rule[1]} <= made:
+                raise ValueError(f"{path}: merges are not in the order in which they were made")
+            made.add(rule[2])
+            self.rules.append(rule)
+        keys = np.array([a << 32 | b for a, b, _ in self.rules], np.int64)
+        self.pair_ranks = np.argsort(keys)
+        self.pair_keys = keys[self.pair_ranks]
         self.bytes_of = {i: bytes(value[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.words = regex.compile(PATTERN)
@@ -71,63 +82,60 @@ class PairIndexBpe:
     # -- merging ---------------------------------------------------------
     def merge_together(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each word, all merged through one pair index."""
-        sym: list[int] = []
-        for word in words:
-            sym.extend(map(self.byte_ids.__getitem__, word))
-            sym.append(-1)
-        size = len(sym)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        merges = self.merges
-        where: dict[tuple[int, int], list[int]] = {}
-        for at in range(size - 1):
-            pair = (sym[at], sym[at + 1])
-            if pair in where:
-                where[pair].append(at)
-            elif pair in merges:
-                where[pair] = [at]
-        active = [(merges[p][0], p) for p in where]
-        heapq.heapify(active)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1)
+        sym = np.full(len(raw) + len(words) + 2, -1, np.int64)  # -1 stands before, between and after words
+        inside = np.ones(len(raw) + len(words) + 1, bool)
+        inside[0] = False
+        inside[ends] = False
+        sym[:-1][inside] = self.byte_ids[raw]
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def enter(places: np.ndarray) -> None:
+            """File positions under the rank of the pair they start."""
+            first, second = sym[places], sym[after[places]]
+            key = first << 32 | np.maximum(second, 0)
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            known = (self.pair_keys[at] == key) & (first >= 0) & (second >= 0)
+            places, ranks = places[known], self.pair_ranks[at[known]]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for own, part in zip(ranks[np.concatenate(([0], cuts))].tolist() if len(ranks) else [], np.split(places, cuts)):
+                if own in index:
+                    index[own].append(part)
+                else:
+                    index[own] = [part]
+                    heapq.heappush(active, own)
+
+        enter(np.arange(len(sym) - 1))
         while active:
-            rank, pair = heapq.heappop(active)
-            places = where.pop(pair, None)
-            if places is None:
+            rank = heapq.heappop(active)
+            parts = index.pop(rank)
+            places = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            first, second, made = self.rules[rank]
+            places = places[(sym[places] == first) & (sym[after[places]] == second)]
+            if first == second and len(places) > 1:
+                # Of overlapping places in a row, every other one merges.
+                row = np.arange(len(places))
+                head = np.concatenate(([True], after[places[:-1]] != places[1:]))
+                places = places[(row - np.maximum.accumulate(np.where(head, row, 0))) % 2 == 0]
+            if not len(places):
                 continue
-            places.sort()
-            first, second = pair
-            made = merges[pair][1]
-            for done, at in enumerate(places):
-                nxt = after[at]
-                if sym[at] != first or nxt >= size or sym[nxt] != second:
-                    continue
-                sym[at], sym[nxt] = made, -2
-                nxt = after[at] = after[nxt]
-                if nxt < size:
-                    before[nxt] = at
-                lower = False
-                left = before[at]
-                for p, place in (((sym[left], made) if left >= 0 else None, left), ((made, sym[nxt]) if nxt < size else None, at)):
-                    found = merges.get(p)
-                    if found is None:
-                        continue
-                    if p in where:
-                        where[p].append(place)
-                    else:
-                        where[p] = [place]
-                        heapq.heappush(active, (found[0], p))
-                    lower |= found[0] < rank
-                if lower and done + 1 < len(places):
-                    where.setdefault(pair, []).extend(places[done + 1 :])
-                    heapq.heappush(active, (rank, pair))
-                    break
-        out, at = [], 0
-        for word in words:
-            end, ids = at + len(word), []
-            while at < end:
-                ids.append(sym[at])
-                at = after[at]
-            out.append(tuple(ids))
-            at = end + 1
-        return out
+            gone = after[places]
+            sym[places], sym[gone] = made, -2
+            beyond = after[gone]
+            after[places] = beyond
+            before[beyond] = places
+            enter(np.unique(np.concatenate([before[places], places])))
+        word_of = np.cumsum(sym[:-1] == -1)
+        alive = sym[:-1] >= 0
+        ids = sym[:-1][alive].tolist()
+        stops = np.cumsum(np.bincount(word_of[alive], minlength=len(words) + 1)[1 : len(words) + 1]).tolist()
+        return [tuple(ids[i:j]) for i, j in zip([0, *stops], stops)]
 
     # -- texts -----------------------------------------------------------
     def _pieces(self, text: str) -> list[tuple[dict, list[str]]]:
@@ -141,15 +149,13 @@ class PairIndexBpe:
         return ([(self.plain, [head])] if head else []) + ([(self.spaced, rest)] if rest else [])
 
     def _learn(self, cache: dict, new: set[str], lead: str) -> None:
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-        owner, words = [], {}
+        words: dict[str, int] = {}
+        owner = []
         for chunk in new:
-            cut = self.words.findall(lead + chunk)
-            owner.append((chunk, [words.setdefault(w, len(words)) for w in cut]))
+            owner.append((chunk, [words.setdefault(w, len(words)) for w in self.words.findall(lead + chunk)]))
         ids = self.merge_together([w.encode() for w in words])
         for chunk, parts in owner:
-            cache[chunk] = tuple(chain.from_iterable(ids[p] for p in parts))
+            cache[chunk] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, parts)))
 
     def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
         cut = [self._pieces(t) for t in texts]
