@@ -165,7 +165,7 @@ class PairIndexBpe:
                 for known, chunks in pieces:
                     if known is cache:
                         want.update(chunks)
-            new = want - cache.keys()
+            new = want.difference(cache)
             if len(cache) + len(new) > CACHE_CHUNKS:
                 cache.clear()
                 new = want

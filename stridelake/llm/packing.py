@@ -55,7 +55,7 @@ class ChunkTokenizer:
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one whole text."""
         chunks = text.split(" ")
-        new = list(set(chunks) - self.known.keys())
+        new = list(set(chunks).difference(self.known))
         if new:
             if len(self.known) + len(new) > CACHE_CHUNKS:
                 self.known.clear()

@@ -54,7 +54,7 @@ class Featurizer:
         n = len(words)
         if not n:
             return np.zeros(len(FEATURES))
-        new = list(set(words) - self.known.keys())
+        new = list(set(words).difference(self.known))
         if new and len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
             new = list(set(words))
