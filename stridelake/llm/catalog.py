@@ -7,10 +7,12 @@ from stridelake.llm.langid import op6_langid
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
+from stridelake.llm.warc import op2_warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": op2_warc,
         "op4_bpe": op4_bpe,
         "op6_langid": op6_langid,
         "op7_packing": op7_packing,
