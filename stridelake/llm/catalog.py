@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stridelake.llm.bpe import op4_bpe
+from stridelake.llm.cover_tree import op3_cover_tree
 from stridelake.llm.langid import op6_langid
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
@@ -13,6 +14,7 @@ from stridelake.llm.warc import op2_warc
 def queries() -> dict:
     return {
         "op2_warc": op2_warc,
+        "op3_cover_tree": op3_cover_tree,
         "op4_bpe": op4_bpe,
         "op6_langid": op6_langid,
         "op7_packing": op7_packing,

@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     stars = current.groupBy("src").agg(F.min("dst").alias("dst"))
     roots = current.select(F.col("dst").alias("node")).distinct()
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest reachable label after joining rows ``a`` and ``b``."""
+    while True:
+        la, lb = label[a], label[b]
+        differ = la != lb
+        if not differ.any():
+            return label
+        high, low = np.maximum(la, lb)[differ], np.minimum(la, lb)[differ]
+        np.minimum.at(label, high, low)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped

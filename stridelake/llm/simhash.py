@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import connected_components, materialize
+from stridelake.llm.common import connected_components, materialize, merge_labels
 
 RADIUS = 2
 #: Rows of one bit-sliced block; a fuller bucket is compared chunk by chunk.
@@ -90,7 +90,7 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
             near = np.unpackbits(~over, axis=1, bitorder="little")[:, :n]
             a, c = np.nonzero(near)
             a += at
-            label = _merge(label, a, c)
+            label = merge_labels(label, a, c)
     row = np.arange(n)
     return np.stack([row[label != row], label[label != row]], axis=1)
 
@@ -107,22 +107,6 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable label after joining rows ``a`` and ``b``."""
-    while True:
-        la, lb = label[a], label[b]
-        differ = la != lb
-        if not differ.any():
-            return label
-        high, low = np.maximum(la, lb)[differ], np.minimum(la, lb)[differ]
-        np.minimum.at(label, high, low)
-        while True:
-            jumped = label[label]
-            if (jumped == label).all():
-                break
-            label = jumped
-
-
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``src, dst`` that connect all fingerprints within ``radius`` (at
     most 2) of each other; ``distinct`` has one row per ``fp``."""

@@ -53,7 +53,7 @@ def test_near_pairs_connect_what_brute_force_links():
         fps = np.unique(np.concatenate([base, near]))
         edges = S.near_pairs(fps, radius)
         assert all(bin(int(fps[a]) ^ int(fps[b])).count("1") <= 10**9 for a, b in edges)
-        label = S._merge(np.arange(len(fps)), edges[:, 0], edges[:, 1]) if len(edges) else np.arange(len(fps))
+        label = S.merge_labels(np.arange(len(fps)), edges[:, 0], edges[:, 1]) if len(edges) else np.arange(len(fps))
         assert label.tolist() == slow_components(list(range(len(fps))), [int(x) for x in fps], radius)
 
 
