@@ -5,6 +5,8 @@ from __future__ import annotations
 from stridelake.llm.bpe import op4_bpe
 from stridelake.llm.cover_tree import op3_cover_tree
 from stridelake.llm.langid import op6_langid
+from stridelake.llm.line_rules import ORACLE_SQL as LINE_RULES_SQL
+from stridelake.llm.line_rules import op8_line_rules
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
@@ -18,10 +20,11 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op6_langid": op6_langid,
         "op7_packing": op7_packing,
+        "op8_line_rules": op8_line_rules,
         "op9_quality_eb": op9_quality_eb,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_rules": LINE_RULES_SQL}
