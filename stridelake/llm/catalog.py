@@ -10,6 +10,7 @@ from stridelake.llm.line_rules import op8_line_rules
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
+from stridelake.llm.surrogates import op5_surrogates
 from stridelake.llm.warc import op2_warc
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op3_cover_tree": op3_cover_tree,
         "op4_bpe": op4_bpe,
+        "op5_surrogates": op5_surrogates,
         "op6_langid": op6_langid,
         "op7_packing": op7_packing,
         "op8_line_rules": op8_line_rules,
