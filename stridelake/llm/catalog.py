@@ -10,12 +10,14 @@ from stridelake.llm.line_rules import op8_line_rules
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
+from stridelake.llm.suffix_dedup import op1_suffix_dedup
 from stridelake.llm.surrogates import op5_surrogates
 from stridelake.llm.warc import op2_warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_warc": op2_warc,
         "op3_cover_tree": op3_cover_tree,
         "op4_bpe": op4_bpe,
