@@ -63,11 +63,13 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Forest of links between the rows of one block: ``(row, row)`` with
     Hamming distance at most ``radius``, enough to connect all that link.
 
-    ``planes[b]`` holds bit ``b`` of every row, packed; ``ones`` and the higher
-    counters are bit-sliced sums, ``over`` marks rows beyond the radius.
+    ``fps`` holds one row of 64-bit words per fingerprint.  ``planes[b]`` holds
+    bit ``b`` of every row, packed; ``counters`` are bit-sliced sums, ``over``
+    marks rows beyond the radius.
     """
+    fps = fps.reshape(len(fps), -1)
     n = len(fps)
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8), axis=1, bitorder="little")
     planes = np.packbits(bits.T, axis=1, bitorder="little")
     padding = ~np.packbits(np.ones(n, np.uint8), bitorder="little")
     levels = max(1, int(radius).bit_length())
@@ -76,16 +78,16 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         own = bits[at : at + BATCH_ROWS]
         over = np.broadcast_to(padding, (len(own), planes.shape[1])).copy()
         counters = [np.zeros_like(over) for _ in range(levels)]
-        for b in range(64):
+        for b in range(len(planes)):
             carry = planes[b] ^ (own[:, b : b + 1] * np.uint8(255))
             for counter in counters:
                 counter ^= carry
                 carry &= ~counter
             over |= carry
-            if radius + 1 < 1 << levels:
+            if b % 8 == 7:
                 over |= _above(counters, radius)
-            if b % 8 == 7 and (over == 255).all():
-                break
+                if (over == 255).all():
+                    break
         else:
             near = np.unpackbits(~over, axis=1, bitorder="little")[:, :n]
             a, c = np.nonzero(near)
@@ -114,38 +116,54 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("four blocks leave two untouched only up to radius 2")
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     tables = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), (F.shiftleft(block(i), 16).bitwiseOR(block(j))).alias("k")) for t, (i, j) in enumerate(tables)])
-    rows = distinct.select("fp", F.explode(keys).alias("b")).select("fp", "b.t", "b.k")
+    keys = F.array(*[F.shiftleft(block(i), 16).bitwiseOR(block(j)) for i, j in tables])
+    return compared(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("bits"), keys.alias("keys")), radius)
+
+
+def compared(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges ``src, dst`` between rows of ``rows(node, bits, keys)`` that share
+    a key at the same place and whose bits differ at ``radius`` places at most."""
+    rows = rows.select("node", "bits", F.posexplode("keys").alias("t", "k"))
     filled = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(filled, ["t", "k"])
     # Chunks of a full bucket meet pairwise, so no task holds more than two.
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("fp", "t"), chunks).cast("int"))
-    rows = rows.select("fp", "t", "k", F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi")))).alias("p")).select("fp", F.xxhash64("t", "k", "p.lo", "p.hi").alias("g"))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node", "t"), chunks).cast("int"))
+    rows = rows.select("node", "bits", "t", "k", F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi")))).alias("p")).select("node", "bits", F.xxhash64("t", "k", "p.lo", "p.hi").alias("g"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps, cuts in _blocks(batches):
-            a = near_pairs(fps, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(fps[a[:, 0]].view(np.int64)), pa.array(fps[a[:, 1]].view(np.int64))], names=["src", "dst"])
+        for nodes, bits in _blocks(batches):
+            a = near_pairs(bits, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "src long, dst long")
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, None]]:
+def _blocks(batches: Iterable[pa.RecordBatch], least: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Whole groups of the sorted stream, small neighbours joined into one
     block: a link found across groups is a link as well."""
-    held_g, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held: tuple[np.ndarray, ...] | None = None
     for batch in batches:
-        held_g = np.concatenate([held_g, batch.column(1).to_numpy()])
-        held_f = np.concatenate([held_f, batch.column(0).to_numpy().view(np.uint64)])
-        while len(held_g) > 256:
-            cut = int(np.searchsorted(held_g, held_g[255], "right"))
-            if cut == len(held_g):
+        if not batch.num_rows:
+            continue
+        words = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+        new = (batch.column(2).to_numpy(), batch.column(0).to_numpy(), words.view(np.uint64))
+        held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+        at = 0
+        while len(held[0]) - at > least:
+            cut = int(np.searchsorted(held[0], held[0][at + least - 1], "right"))
+            if cut == len(held[0]):
                 break
-            yield np.unique(held_f[:cut]), None
-            held_g, held_f = held_g[cut:], held_f[cut:]
-    if len(held_g):
-        yield np.unique(held_f), None
+            yield _once(held[1][at:cut], held[2][at:cut])
+            at = cut
+        held = tuple(x[at:] for x in held)
+    if held is not None and len(held[0]):
+        yield _once(held[1], held[2])
+
+
+def _once(nodes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nodes, at = np.unique(nodes, return_index=True)
+    return nodes, bits[at]
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, seed: int = 42) -> DataFrame:
@@ -163,6 +181,77 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS,
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- near copies by similarity -----------------------------------------------
+#: Words of a fingerprint (64 bits each) and pairs of least shingle hashes that
+#: bring documents together.
+WIDE = 4
+BANDS = 14
+
+
+def wide_radius(similarity: float, words: int = WIDE) -> int:
+    """Differing bits two documents of that Jaccard similarity are expected to
+    have, plus one and a half standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * words
+    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x1234567) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(29))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
+    """SimHash of ``WIDE`` words, and ``BANDS`` keys, over distinct shingles."""
+    tokens = (text or "").lower().split()
+    width = max(1, min(words, len(tokens)))
+    digest = xxhash.xxh64_intdigest
+    own = np.fromiter({digest(" ".join(tokens[k : k + width])) for k in range(max(1, len(tokens) - width + 1))}, np.uint64)
+    fp = []
+    for salt in range(WIDE):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(own), 4096):
+            mixed = _mixed(own[at : at + 4096], salt)
+            counts += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fp.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<i8")[0]))
+    least = np.array([_mixed(own, 100 + k).min() for k in range(2 * BANDS)], np.uint64)
+    keys = _mixed(least[::2] ^ (least[1::2] * np.uint64(3)), 7)
+    return fp, keys.view(np.int64).tolist()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` for documents whose word shingles agree by
+    ``similarity`` or more: rows that share a pair of least shingle hashes are
+    compared by wide fingerprints, bit-sliced.  Links are transitive; of
+    documents at exactly that similarity, one link in fifteen may be missed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "bits", "keys"])
+
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits array<long>, keys array<long>").withColumn("node", F.xxhash64("bits", "keys")), "wide")
+    distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "wide-fp")
+    found = connected_components(compared(distinct, wide_radius(similarity)).select("src", "dst"))
+    rooted = distinct.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(rooted.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without all but one document of each near-duplicate group: the
+    one with the smallest doc_id stays, once if its row is repeated; rows
+    without a doc_id stay."""
+    group = similar_groups(docs, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_first"), F.count("*").alias("_copies")).withColumnRenamed("doc_id", "_doc")
+    kept = docs.join(materialize(group, "first"), F.col("doc_id") == F.col("_doc"), "left").where("_first = 1 or doc_id is null")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where("coalesce(_copies, 1) = 1").select(*names)
+    again = kept.where("_copies > 1").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_doc", "_text"]).select(*names)
+    return once.unionByName(again)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

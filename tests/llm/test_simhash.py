@@ -89,3 +89,30 @@ def test_empty_table_and_repeated_rows(spark):
     assert S.near_duplicate_groups(empty).collect() == []
     twice = spark.createDataFrame([(3, "a b c d", None, None, None, 1), (3, "a b c d", None, None, None, 1), (None, "a b c d", None, None, None, 1)], DOCS)
     assert [r.component_id for r in S.near_duplicate_groups(twice).collect()] == [3, 3, 3]
+
+
+def test_similar_groups_follow_jaccard(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    texts, truth = [], []
+    for g in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.choice([60, 200, 400]))]
+        for copy in range(3):
+            own = list(base)
+            for _ in range(copy * len(base) // 100):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            texts.append(" ".join(own))
+            truth.append(3 * g)
+    for g in range(20):  # half of the text shared: not near copies
+        base = [rng.choice(vocab) for _ in range(200)]
+        for _ in range(2):
+            truth.append(len(texts))
+            texts.append(" ".join(base[:100] + [rng.choice(vocab) for _ in range(100)]))
+    rows = [(i, t, "en", "s", 1, 0) for i, t in enumerate(texts)] + [(900, None, "en", "s", 1, 0), (900, None, "en", "s", 1, 0), (901, "", "en", "s", 1, 0), (None, texts[0], "en", "s", 1, 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect() if r.doc_id is not None}
+    assert [got[i] for i in range(len(texts))] == truth and got[900] == got[901] == 900
+    kept = S.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*set(truth), 900, None], key=str)
+    assert S.keep_first(docs.limit(0)).collect() == []
