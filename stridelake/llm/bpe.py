@@ -15,6 +15,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -29,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stridelake.llm.common import grouped
+
 #: The pre-tokenizer's pattern (a fixed value of the byte-level format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by one Python worker, and characters encoded together.
@@ -78,6 +81,7 @@ class PairIndexBpe:
         self.words = regex.compile(PATTERN)
         self.spaced: dict[str, tuple[int, ...]] = {}
         self.plain: dict[str, tuple[int, ...]] = {}
+        self.word_ids: dict[str, tuple[int, ...]] = {}
 
     # -- merging ---------------------------------------------------------
     def merge_together(self, words: list[bytes]) -> list[tuple[int, ...]]:
@@ -149,13 +153,14 @@ class PairIndexBpe:
         return ([(self.plain, [head])] if head else []) + ([(self.spaced, rest)] if rest else [])
 
     def _learn(self, cache: dict, new: set[str], lead: str) -> None:
-        words: dict[str, int] = {}
-        owner = []
-        for chunk in new:
-            owner.append((chunk, [words.setdefault(w, len(words)) for w in self.words.findall(lead + chunk)]))
-        ids = self.merge_together([w.encode() for w in words])
+        owner = [(chunk, self.words.findall(lead + chunk)) for chunk in new]
+        if len(self.word_ids) > CACHE_CHUNKS:
+            self.word_ids.clear()
+        words = list(set().union(*(parts for _, parts in owner)).difference(self.word_ids))
+        self.word_ids.update(zip(words, self.merge_together([w.encode() for w in words])))
+        known = self.word_ids
         for chunk, parts in owner:
-            cache[chunk] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, parts)))
+            cache[chunk] = known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(known.__getitem__, parts)))
 
     def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
         cut = [self._pieces(t) for t in texts]
@@ -188,19 +193,6 @@ def load(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-def grouped(texts: Iterable[str], limit: int = GROUP_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts in groups of about ``limit`` characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text."""
 
@@ -208,7 +200,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             done = 0
-            for group in grouped(x.as_py() or "" for x in batch.column(1)):
+            for group in grouped((x.as_py() or "" for x in batch.column(1)), GROUP_CHARS):
                 ids = list(bpe.encode_many(group))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(group)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
                 done += len(group)
@@ -232,9 +224,16 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = load(path)
+        gc.disable()  # millions of small tuples live in the caches, none in cycles
+        try:
+            yield from digests(bpe, batches)
+        finally:
+            gc.enable()
+
+    def digests(bpe, batches):
         for batch in batches:
             done = 0
-            for group in grouped(x.as_py() or "" for x in batch.column(1)):
+            for group in grouped((x.as_py() or "" for x in batch.column(1)), GROUP_CHARS):
                 counts, of_ids, of_text = [], [], []
                 for ids in bpe.encode_many(group):
                     counts.append(len(ids))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,3 +102,16 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if (jumped == label).all():
                 break
             label = jumped
+
+
+def grouped(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
+    """Consecutive texts in groups of about ``limit`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
