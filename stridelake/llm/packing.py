@@ -17,7 +17,9 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import grouped, materialize
 
 LIMIT = 4096
 END_ID = 1
@@ -33,7 +35,9 @@ END_ID = 1
 PARTNERS = 24
 #: Pieces of one length ranked by one task.
 RANKED_TOGETHER = 4000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
+#: Characters encoded together.
+GROUP_CHARS = 2_000_000
 
 
 class ChunkTokenizer:
@@ -41,8 +45,14 @@ class ChunkTokenizer:
 
     The vocabulary drops white space and no rule of its normaliser or its
     pattern reaches across a space, so a text's ids are those of its chunks.
+    Most chunks are one word and a mark or two; their words meet in lower case,
+    and new ones are encoded by the library together, as words of one text.
     """
 
+    #: A word and what follows it, where the pattern cuts right between them;
+    #: only letters whose lower case and composition do not depend on others.
+    simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -50,19 +60,58 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        found = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+        if len(cuts) != len(words) + 1:
+            raise ValueError("the vocabulary does not mark the ends of words")
+        raw = ids.tobytes()
+        self.words.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(words, cuts, cuts[1:]))
+
+    def _learn(self, chunks: list[str]) -> None:
+        split, rest = [], []
+        for chunk in chunks:
+            cut = self.simple.fullmatch(chunk)
+            if cut:
+                split.append((chunk, cut[1].lower(), cut[2]))
+            else:
+                rest.append(chunk)
+        if len(self.words) > CACHE_CHUNKS:
+            self.words = {"": b""}
+        new = list({w for _, w, _ in split}.difference(self.words))
+        if new:
+            self._learn_words(new)
+        marks = list({m for _, _, m in split}.difference(self.words))
+        self.words.update(zip(marks, self._ids(marks)))
+        for chunk, word, mark in split:
+            self.known[chunk] = self.words[word] + self.words[mark]
+        self.known.update(zip(rest, self._ids(rest)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one whole text."""
-        chunks = text.split(" ")
-        new = list(set(chunks).difference(self.known))
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [t.split(" ") for t in texts]
+        chunks = set().union(*cut)
+        new = chunks.difference(self.known)
+        if new and len(self.known) + len(new) > CACHE_CHUNKS:
+            self.known.clear()
+            new = chunks
         if new:
-            if len(self.known) + len(new) > CACHE_CHUNKS:
-                self.known.clear()
-                new = list(set(chunks))
-            for chunk, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+            self._learn(list(new))
+        for own in cut:
+            yield b"".join(map(self.known.__getitem__, own))
 
 
 @lru_cache(maxsize=4)
@@ -79,8 +128,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fals
         tokenizer, end = load(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = tokenizer.encode(text.as_py() or "") + end
+            texts = grouped((x.as_py() or "" for x in batch.column(1)), GROUP_CHARS)
+            for doc, own in zip(batch.column(0).to_pylist(), (ids for group in texts for ids in tokenizer.encode_many(group))):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     own = ids[at : at + 4 * limit]
                     for column, value in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own))):
