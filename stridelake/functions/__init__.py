@@ -1 +1,91 @@
+"""Column functions that the operators share."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def clip(value: Column, low: float, high: float) -> Column:
+    """``value`` held between two bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
+
+
+def zero_is_missing(value: Column, default: float) -> Column:
+    """``value``, or the default where it is null or zero."""
+    return F.coalesce(F.when(value != 0, value), F.lit(default))
+
+
+def lenient_double(text: Column) -> Column:
+    """A number from text; blank or unreadable text is null."""
+    return F.nullif(F.trim(text), F.lit("")).try_cast("double")
+
+
+def missing_to_null(value: Column) -> Column:
+    """NaN, which Spark orders above every number, becomes null."""
+    return F.when(~F.isnan(value), value)
+
+
+def angle(a: tuple[Column, ...], b: tuple[Column, ...], c: tuple[Column, ...]) -> Column:
+    """Degrees at ``b`` between ``a`` and ``c``; 0 where a point is missing or a
+    side has no length."""
+    u, v = [p - q for p, q in zip(a, b)], [p - q for p, q in zip(c, b)]
+    dot = sum((p * q for p, q in zip(u[1:], v[1:])), u[0] * v[0])
+    length = lambda w: F.sqrt(sum((p * p for p in w[1:]), w[0] * w[0]))
+    nu, nv = length(u), length(v)
+    return F.when((nu >= 1e-9) & (nv >= 1e-9), F.degrees(F.acos(F.greatest(F.least(dot / (nu * nv), F.lit(1.0)), F.lit(-1.0))))).otherwise(F.lit(0.0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
+
+
+def spread(values: Column) -> Column:
+    """Population standard deviation of an array; null where it is empty."""
+    return F.element_at(F.transform(F.array(total(values) / F.nullif(F.size(values), F.lit(0))), lambda m: F.sqrt(total(F.transform(values, lambda v: (v - m) * (v - m))) / F.size(values))), 1)
+
+
+def second_difference(values: Column) -> Column:
+    """``y[i+2] - 2 y[i+1] + y[i]`` of an array."""
+    step = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: q - p)
+    return step(step(values))
+
+
+def initial_slope(xs: Column, ys: Column) -> Column:
+    """Slope at the first x of the least-squares parabola; null where the points
+    do not determine one.  Power sums are centred on the first x."""
+    u = F.transform(xs, lambda x: x - F.get(xs, 0))
+    power = lambda k: lambda v: F.pow(v, F.lit(float(k)))
+    moment = lambda k: lambda v, y: F.pow(v, F.lit(float(k))) * y
+    s = [total(F.transform(u, power(k))) for k in range(5)]
+    t = [total(F.zip_with(u, ys, moment(k))) for k in range(3)]
+    sums = F.struct(*[c.alias(f"s{k}") for k, c in enumerate(s)], *[c.alias(f"t{k}") for k, c in enumerate(t)])
+
+    def solve(p: Column) -> Column:
+        s0, s1, s2, s3, s4 = (p[f"s{k}"] for k in range(5))
+        t0, t1, t2 = (p[f"t{k}"] for k in range(3))
+        det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+        top = s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)
+        return F.when(F.abs(det) > 1e-30, top / det)
+
+    return F.element_at(F.transform(F.array(sums), solve), 1)
+
+
+def savgol_rows(window: int = 11, degree: int = 3) -> list[list[float]]:
+    """Projection of ``window`` equally spaced samples on polynomials: row i
+    gives the fitted value at sample i."""
+    x = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)
+    return (x @ np.linalg.solve(x.T @ x, x.T)).tolist()
+
+
+def smooth(values: str, window: int = 11, degree: int = 3) -> Column:
+    """Savitzky-Golay smoothing of an array (its SQL name) of at least
+    ``window`` values; the ends are fitted on the first and last window.
+
+    One SQL text: the projection's literals would cost a call each otherwise.
+    """
+    rows = "array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in row) + ")" for row in savgol_rows(window, degree)) + ")"
+    first = f"greatest(least(i - {window // 2}, size({values}) - {window}), 0)"
+    return F.expr(f"""transform(sequence(0, size({values}) - 1), i -> aggregate(
+        zip_with(get({rows}, i - {first}), slice({values}, {first} + 1, {window}), (h, v) -> h * v), 0D, (t, v) -> t + v))""")
