@@ -35,7 +35,7 @@ END_ID = 1
 PARTNERS = 24
 #: Pieces of one length ranked by one task.
 RANKED_TOGETHER = 4000
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 250_000
 #: Characters encoded together.
 GROUP_CHARS = 2_000_000
 
@@ -139,6 +139,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fals
                         rows[5].append(np.frombuffer(own, "<u4").astype(np.int32))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        # The worker process serves other operators next: leave it small.
+        tokenizer.known.clear()
+        tokenizer.words = {"": b""}
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

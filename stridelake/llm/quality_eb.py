@@ -30,7 +30,7 @@ from stridelake.llm.common import materialize
 #: Labelled documents the classifier is fitted on, in order of a hash.
 MAX_LABELLED = 20_000
 KEEP_AT = 0.5
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 FEATURES = ("words", "symbol_words", "upper_words", "exclaimed", "word_length", "digits", "distinct_words", "echoes", "distinct_triples")
 _SYMBOL = regex.compile(r"[#*$%&|<>{}\[\]^~=\\]")
 
@@ -42,6 +42,12 @@ class Featurizer:
         self.known: dict[str, int] = {}
         self.facts = np.zeros((4096, 5))
 
+    def forget(self) -> None:
+        """Back to a small memory between batches of a shared worker."""
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.known.clear()
+            self.facts = np.zeros((4096, 5))
+
     def _learn(self, words: list[str]) -> None:
         base = len(self.known)
         while base + len(words) > len(self.facts):
@@ -123,6 +129,7 @@ def evidence(model: Logistic):
     def logit(text: pd.Series) -> pd.Series:
         own = featurizer()
         x = np.array([own(t if isinstance(t, str) else None) for t in text]).reshape(len(text), len(FEATURES))
+        own.forget()
         return pd.Series(model.logit(x))
 
     return logit
