@@ -32,8 +32,8 @@ def vectors(box: DataFrame) -> DataFrame:
     """``box`` with ``raw``, the vector in metric order."""
     rows = box.select("*", *[number(c).alias(f"_{c}") for c in DEFAULTS])
     reb, ast = F.col("_REB") / F.col("_GP"), F.col("_AST") / F.col("_GP")
-    rows = rows.withColumn("_reb", reb).withColumn("_guard", ast / (reb + 1)).withColumn("_care", F.col("_AST") / F.col("_TOV"))
-    reb, guard, care, fg3 = F.col("_reb"), F.col("_guard"), F.col("_care"), F.col("_FG3_PCT")
+    rows = rows.withColumn("_reb_pg", reb).withColumn("_guard", ast / (reb + 1)).withColumn("_care", F.col("_AST") / F.col("_TOV"))
+    reb, guard, care, fg3 = F.col("_reb_pg"), F.col("_guard"), F.col("_care"), F.col("_FG3_PCT")
     raw = F.array(
         F.round(clip(5.5 + 1.2 * guard + 2.5 * fg3, 4.0, 9.0), 2),
         F.round(clip(38 + 22 * fg3, 38.0, 55.0), 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stridelake.functions import angle
 from stridelake.operators import drift, match, metrics, reference, report, series, studies
 from stridelake.plans import fixtures
-from stridelake.sources import AXES, METRICS, or_else, seed_table, sport_metrics, sports, table
+from stridelake.sources import AXES, METRICS, or_else, seed_table, settled, sport_metrics, sports, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,8 +58,22 @@ def index(spark, d):
     return reference.reference_index(reference.cleaned(fixtures.box(spark, d)))
 
 
+#: What reports need of a judged clip, besides its nested telemetry.
+FACTS = ["clip_id", "status", *METRICS, "knee_unc", "elbow_unc", "people", "warnings", "quality_score", "quality_label", "factors"]
+
+
+def records(spark, d, *more):
+    """Judged clips, computed once: several branches read them."""
+    return settled(judged(spark, d).select(*FACTS, *more))
+
+
 def matched(spark, d):
-    return match.match_reference(reference.query_vector(judged(spark, d)), index(spark, d))
+    return match.match_reference(reference.query_vector(records(spark, d)), settled(index(spark, d)))
+
+
+def runs(spark, d):
+    rows = metrics.metric_record(measured(spark, d)).select("clip_id", "status", *METRICS)
+    return settled(rows).withColumn("cohort", F.col("clip_id") % 10).withColumn("day", F.floor(F.col("clip_id") / 10))
 
 
 # -- series --------------------------------------------------------------------
@@ -172,7 +186,7 @@ def validation_warnings(spark, d):
 
 @query
 def confidence_factors(spark, d):
-    return judged(spark, d).select("clip_id", F.explode("factors").alias("f")).select("clip_id", "f.factor", "f.impact", "f.message")
+    return records(spark, d).select("clip_id", F.explode("factors").alias("f")).select("clip_id", "f.factor", "f.impact", "f.message")
 
 
 @query
@@ -265,24 +279,25 @@ def report_payload(spark, d):
 
 @query
 def report_envelope(spark, d):
-    rows = matched(spark, d)
-    return report.envelope(match.gaps(match.match_stats(rows)), fixtures.reports(spark, d), metrics.telemetry(rows))
+    nested = settled(metrics.telemetry(judged(spark, d)))
+    return report.envelope(match.gaps(match.match_stats(matched(spark, d))), fixtures.reports(spark, d), nested)
 
 
 @query
 def baseline_capture(spark, d):
-    return rounded(drift.capture(judged(spark, d)), 2)
+    return rounded(drift.capture(records(spark, d)), 2)
 
 
-def _shifted(spark, d):
+def _shifted(rows):
     """A run whose values are off by a known amount, and some missing."""
-    rows = drift.unpivot(metrics.metric_record(measured(spark, d)), ["clip_id"])
+    rows = drift.unpivot(rows, ["clip_id"])
     return rows.where("(clip_id + length(metric)) % 11 <> 0").withColumn("value", F.col("value") + F.col("clip_id") % 9)
 
 
 @query
 def drift_check(spark, d):
-    found = drift.check(_shifted(spark, d), drift.capture(judged(spark, d)))
+    rows = records(spark, d)
+    found = drift.check(_shifted(rows), drift.capture(rows))
     return drift.report(found).select("clip_id", F.size("messages").alias("n"), F.array_join("messages", "; ").alias("messages"))
 
 
@@ -335,14 +350,9 @@ def angle_jumps(spark, d):
     return rounded(studies.angle_jumps(_knee(spark, d), 15.0), 5)
 
 
-def _runs(spark, d):
-    rows = metrics.metric_record(measured(spark, d))
-    return rows.withColumn("cohort", F.col("clip_id") % 10).withColumn("day", F.floor(F.col("clip_id") / 10))
-
-
 @query
 def run_stddev(spark, d):
-    return studies.run_spread(_runs(spark, d), ["cohort"])
+    return studies.run_spread(runs(spark, d), ["cohort"])
 
 
 @query
@@ -354,28 +364,28 @@ def truth_mae(spark, d):
 
 @query
 def expert_corr(spark, d):
-    return rounded(_runs(spark, d).where("status = 'ok'").agg(F.corr("knee_angle", "elbow_angle").alias("knee_elbow"), F.corr("balance_index", "hip_rotation_deg").alias("balance_hip")), 6)
+    return rounded(runs(spark, d).where("status = 'ok'").agg(F.corr("knee_angle", "elbow_angle").alias("knee_elbow"), F.corr("balance_index", "hip_rotation_deg").alias("balance_hip")), 6)
 
 
 @query
 def benchmark_prf(spark, d):
-    rows = _runs(spark, d).select((F.col("knee_angle") > 140).cast("int").alias("predicted"), (F.col("clip_id") % 3 == 0).cast("int").alias("actual"))
+    rows = runs(spark, d).select((F.col("knee_angle") > 140).cast("int").alias("predicted"), (F.col("clip_id") % 3 == 0).cast("int").alias("actual"))
     return rounded(studies.precision_recall(rows))
 
 
 @query
 def metric_trend(spark, d):
-    return rounded(studies.trend(_runs(spark, d), "cohort", "day", "knee_angle"), 5)
+    return rounded(studies.trend(runs(spark, d), "cohort", "day", "knee_angle"), 5)
 
 
 @query
 def cohort_percentile(spark, d):
-    return rounded(studies.cohort_percentiles(_runs(spark, d).select("clip_id", "cohort", "knee_angle"), "cohort", "knee_angle"), 6)
+    return rounded(studies.cohort_percentiles(runs(spark, d).select("clip_id", "cohort", "knee_angle"), "cohort", "knee_angle"), 6)
 
 
 @query
 def ideal_range(spark, d):
-    values = drift.unpivot(metrics.metric_record(measured(spark, d)), ["clip_id"])
+    values = drift.unpivot(runs(spark, d), ["clip_id"])
     rows = studies.in_ideal_range(values, sport_metrics(spark))
     return rows.groupBy("metric").agg(F.count("*").alias("clips"), F.sum(F.col("in_range").cast("int")).alias("inside"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +103,24 @@ def overwrite(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``);
+    only where that is unset, as in tests, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="stridelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is computed once,
+    and filters above it do not copy its expressions."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def melt_pose(frames: DataFrame) -> DataFrame:
     """Wide pose frames to long channels ``clip_id, f, n_people, side, joint``
     and six axes; a frame without a pose keeps its twelve rows, all null."""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridelake.sources import shared_folder
+
 GAP = "3 hours"
 LATENESS = "1 hour"
 
@@ -21,11 +20,6 @@ def closed_clips(frames: DataFrame, gap: str = GAP, lateness: str = LATENESS) ->
     return made.select(F.col("user_id").alias("clip_id"), F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "frames", "mean_value")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stridelake-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, **options):
     """Start (or resume, from the checkpoint) the stream from a folder of Parquet
     files to a folder of closed clips; returns the query."""
