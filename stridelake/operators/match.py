@@ -119,7 +119,8 @@ def image_url(player_id: Column, pattern: str, placeholder: str) -> Column:
 
 def gaps(with_pro: DataFrame) -> DataFrame:
     """One column per gap, match minus clip; a clip's zero counts as missing."""
-    made = [F.round(F.col(f"pro.{stat}") - zero_is_missing(F.col(metric).cast("double"), default), digits).alias(name) for name, stat, metric, default, digits in GAPS]
+    # First to six places: a tie of decimals is a tie whatever its last bits are.
+    made = [F.round(F.round(F.col(f"pro.{stat}") - zero_is_missing(F.col(metric).cast("double"), default), 6), digits).alias(name) for name, stat, metric, default, digits in GAPS]
     return with_pro.select("*", *made)
 
 

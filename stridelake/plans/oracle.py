@@ -226,7 +226,7 @@ ORACLE: dict[str, str] = {
     "nn_topk": sql(_VECTORS, "select vec_id, id, round(c, 7) as distance, rank::int as rank from (select *, row_number() over (partition by vec_id order by c, id) as rank from p) where rank <= 3"),
     "match_confidence_tier": sql(_MATCHED, f"select clip_id, match_id, match_name, round(match_cosine, 5) as match_cosine, round(match_l2, 5) as match_l2, {_tier('match_cosine')} as tier_cosine, {_tier('match_l2')} as tier_l2, base_confidence, confidence from matched"),
     "matched_pro": sql(_MATCHED, "select clip_id, match_name, concat('https://img.invalid/', player_id, '.png') as image_url, round(v0, 2) as release_velocity, round(v1, 1) as shot_arc, round(v2, 1) as knee_angle, round(v3, 1) as elbow_angle, round(v4, 1) as kinetic_sync_ms, round_even(v5, 0)::int as fluidity_score, round(v6, 2) as hip_rotation_deg, round_even(v7, 0)::int as balance_index from matched"),
-    "metric_deltas": sql(_MATCHED, f"select clip_id, {', '.join(f'round({v} - coalesce(nullif(cast({m} as double), 0), {z}), {p}) as {g}' for g, v, m, z, p in _GAPS)} from matched"),
+    "metric_deltas": sql(_MATCHED, f"select clip_id, {', '.join(f'round(round({v} - coalesce(nullif(cast({m} as double), 0), {z}), 6), {p}) as {g}' for g, v, m, z, p in _GAPS)} from matched"),
     "report_normalise": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, case when clip_id % 4 = 0 then '—' else concat('Jump shot ', clip_id) end as athlete_action, case when clip_id % 5 = 0 then '—' else 'solid' end as scout_report, case when clip_id % 5 = 0 then '' else 'swish' end as witty_catchphrase, (case {_FEEDBACK} when 'list' then 2 when 'text' then 1 else 0 end)::int as n_feedback, case {_FEEDBACK} when 'list' then 'form' when 'text' then 'general' end as first_category, case {_FEEDBACK} when 'list' then 'steady' when 'text' then concat('keep going ', clip_id) end as first_observation from clips"),
     "baseline_capture": sql(_REC, f"select clip_id, metric, value as baseline, {_TOL} as tolerance from {_UNPIVOT} where not fell"),
     "drift_check": sql(_REC, f"select clip_id, count(*)::int as n, string_agg(message, '; ' order by metric) as messages from (select clip_id, metric, case when (clip_id + length(metric)) % 11 = 0 then concat(metric, ': missing') when clip_id % 9 > {_TOL} then concat(metric, ': drift beyond ', {_TOL}) end as message from {_UNPIVOT} where not fell) where message is not null group by clip_id"),
