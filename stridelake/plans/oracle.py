@@ -7,6 +7,7 @@ derived views, filled and smoothed channels in long form, events, metrics.
 from __future__ import annotations
 
 from stridelake.plans import fixtures as X
+from stridelake.sources import SEED_ROWS
 
 TABLES = {"events": "events", "lineitem": "lineitem", "supplier": "supplier"}
 AXES = ("x2", "y2", "v2", "x3", "y3", "z3")
@@ -187,7 +188,7 @@ _TOL = "case metric when 'release_velocity_mps' then 0.6e0 when 'shot_arc_deg' t
 _VECTORS = "v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null), p as (select q.vec_id, i.vec_id as id, 1 - list_cosine_similarity(q.e, i.e) as c, list_distance(q.e, i.e) as l from v q, v i where q.vec_id % 2 = 1 and i.vec_id % 2 = 0)"
 _KNEE = f"ang as (select hip.clip_id, hip.f, {_ang('hip', 'knee', 'ankle')} as angle from act hip join act knee on knee.clip_id = hip.clip_id and knee.f = hip.f and knee.joint = 'knee' join act ankle on ankle.clip_id = hip.clip_id and ankle.f = hip.f and ankle.joint = 'ankle' join sides on sides.clip_id = hip.clip_id where hip.joint = 'hip' and n >= 5)"
 _LANDMARK_ROWS = ", ".join(f"('{s}', '{j}', {i})" for j, pair in {"shoulder": (11, 12), "elbow": (13, 14), "wrist": (15, 16), "hip": (23, 24), "knee": (25, 26), "ankle": (27, 28)}.items() for s, i in zip(("left", "right"), pair))
-_SEEDS = ", ".join("(" + ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in row) + ")" for row in __import__("stridelake.sources", fromlist=["SEED_ROWS"]).SEED_ROWS)
+_SEEDS = ", ".join("(" + ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in row) + ")" for row in SEED_ROWS)
 _GAPS = [("arc_gap", "round(v1, 1)", "shot_arc_deg", 45, 1), ("vel_gap", "round(v0, 2)", "release_velocity_mps", 7, 2), ("knee_gap", "round(v2, 1)", "knee_angle", 150, 1), ("elbow_gap", "round(v3, 1)", "elbow_angle", 165, 1), ("fluid_gap", "round_even(v5, 0)", "fluidity_score", 80, 1), ("hip_gap", "round(v6, 2)", "hip_rotation_deg", 5, 1), ("ksync_gap", "round(v4, 1)", "kinetic_sync_ms", 15, 1), ("bal_gap", "round_even(v7, 0)", "balance_index", 80, 1)]
 _RUNS = "runs as (select *, clip_id % 10 as cohort, clip_id // 10 as day from rec)"
 _FEEDBACK = "case when clip_id % 3 = 0 then 'list' when clip_id % 3 = 1 then 'text' end"
