@@ -25,8 +25,14 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held several
+#: times over between Spark and its Python workers.
+BATCH_ROWS = "1000"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return quality_eb.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
