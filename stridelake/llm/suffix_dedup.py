@@ -47,7 +47,7 @@ GRAM = 32
 GROUP = 1000
 #: Offsets in one range, level by level.
 SPLITS = (64, 16, 4, 1)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SORT_ROWS = 16_384
 _MASK = np.uint64((1 << 24) - 1)
 
