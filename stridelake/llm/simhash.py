@@ -16,6 +16,8 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -186,14 +188,29 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS,
 #: bring documents together.
 WIDE = 4
 BANDS = 14
+#: Shingles of one part of a component; a fuller one is compared part by part.
+CHUNK_SHINGLES = 2_000_000
 
 
 def wide_radius(similarity: float, words: int = WIDE) -> int:
-    """Differing bits two documents of that Jaccard similarity are expected to
-    have, plus one and a half standard deviations."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    """Bits within which documents of that Jaccard similarity or more differ:
+    the expected number plus six standard deviations.  The chance that one bit
+    differs is exact for unions of up to 64 shingles, where ties of the
+    majority count, and never less than its limit for large ones."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    law = [np.array([comb(n, k) for k in range(n + 1)]) / 2.0**n for n in range(65)]
+    for union in range(1, 65):
+        for own in range(int(union * (1 - similarity) + 1e-9) + 1):
+            common = union - own
+            for left in range(own // 2 + 1):
+                right = own - left
+                at = np.arange(common + 1)
+                # One side's majority, given the count among the common shingles.
+                one = np.array([law[left][2 * (x + np.arange(left + 1)) > common + left].sum() for x in at])
+                two = np.array([law[right][2 * (x + np.arange(right + 1)) > common + right].sum() for x in at])
+                share = max(share, float((law[common] * (one * (1 - two) + two * (1 - one))).sum()))
     bits = 64 * words
-    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 6 * np.sqrt(bits * share * (1 - share)))
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -203,12 +220,18 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[int]]:
-    """SimHash of ``WIDE`` words, and ``BANDS`` keys, over distinct shingles."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of ``words`` words."""
     tokens = (text or "").lower().split()
     width = max(1, min(words, len(tokens)))
     digest = xxhash.xxh64_intdigest
     own = np.fromiter({digest(" ".join(tokens[k : k + width])) for k in range(max(1, len(tokens) - width + 1))}, np.uint64)
+    own.sort()
+    return own
+
+
+def wide_fingerprint(own: np.ndarray) -> tuple[list[int], list[int]]:
+    """SimHash of ``WIDE`` words, and ``BANDS`` keys, over distinct shingles."""
     fp = []
     for salt in range(WIDE):
         counts = np.zeros(64, np.int64)
@@ -221,20 +244,107 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[list[int], list[
     return fp, keys.view(np.int64).tolist()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id`` for documents whose word shingles agree by
-    ``similarity`` or more: rows that share a pair of least shingle hashes are
-    compared by wide fingerprints, bit-sliced.  Links are transitive; of
-    documents at exactly that similarity, one link in fifteen may be missed."""
+def exact_pairs(bits: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+    """Forest of links ``(row, row)`` that connects all rows whose ``sets``
+    (sorted, distinct) have a Jaccard similarity of at least ``similarity``;
+    sets are counted where the bits differ at ``radius`` places at most."""
+    part = Fraction(str(similarity))
+    size = np.array([len(x) for x in sets])
+    label = np.arange(len(sets))
+    found = []
+    for i in range(len(sets) - 1):
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[label[rest] != label[i]]
+        least, most = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        rest = rest[least * part.denominator >= most * part.numerator]
+        rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(rest):
+            continue
+        every = np.concatenate([sets[j] for j in rest])
+        place = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+        starts = np.concatenate(([0], np.cumsum(size[rest])[:-1]))
+        common = np.add.reduceat((sets[i][place] == every).astype(np.int64), starts)
+        near = rest[common * part.denominator >= (size[rest] + size[i] - common) * part.numerator]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """Edges ``src, dst`` that connect the nodes of each component of
+    ``members(node, bits, component, rep)`` by exact Jaccard similarity; ``rep``
+    names the row of ``docs`` that a node's shingles are taken from."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "bits", "keys"])
+            own = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(3)]
+            size = pa.array([len(x) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int64())), size], names=["node", "component", "bits", "own", "size"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("h"))
+    wanted = members.select("node", "component", "bits", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.h").alias("rep_h"))
+    rows = texts.join(wanted, (F.col("h") == F.col("rep_h")) & F.col("doc").eqNullSafe(F.col("rep_doc")))
+    rows = materialize(rows.select("node", "component", "bits", "text").mapInArrow(run, "node long, component long, bits array<long>, own array<long>, size long"), "wide-sets")
+    # Parts of a full component meet pairwise, so no task holds more than two.
+    parts = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("parts"))
+    rows = rows.join(parts, "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.select("node", "bits", "own", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi")))).alias("p")).select("node", "bits", "own", F.xxhash64("component", "p.lo", "p.hi").alias("g"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, bits, sets in _whole_groups(batches):
+            a = exact_pairs(bits, sets, similarity, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "src long, dst long")
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``node, bits, own`` of each group of the sorted stream, one row a node."""
 
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits array<long>, keys array<long>").withColumn("node", F.xxhash64("bits", "keys")), "wide")
-    distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "wide-fp")
-    found = connected_components(compared(distinct, wide_radius(similarity)).select("src", "dst"))
+    def made(held: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return np.array(list(held), np.int64), np.array([x[0] for x in held.values()]), [x[1] for x in held.values()]
+
+    held: dict = {}
+    last = None
+    for batch in batches:
+        for node, bits, own, g in zip(*(batch.column(k) for k in range(4))):
+            if g.as_py() != last:
+                if len(held) > 1:
+                    yield made(held)
+                held, last = {}, g.as_py()
+            # Copied, so that a group does not hold whole batches.
+            held[node.as_py()] = (bits.values.to_numpy().view(np.uint64).copy(), own.values.to_numpy().view(np.uint64).copy())
+    if len(held) > 1:
+        yield made(held)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` for documents whose word shingles have a Jaccard
+    similarity of ``similarity`` or more; links are transitive.
+
+    Rows that share a pair of least shingle hashes and whose wide fingerprints,
+    compared bit-sliced, are not too far apart make coarse components; inside
+    these the distinct shingles of the rows are compared exactly.  At 0.8 about
+    one link in a million shares none of the ``BANDS`` pairs."""
+    radius = wide_radius(similarity)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, nodes = [], []
+            for x in batch.column(1):
+                own = shingles(x.as_py(), words)
+                made.append(wide_fingerprint(own))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["doc_id", "h", "bits", "keys", "node"])
+
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, bits array<long>, keys array<long>, node long"), "wide")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), rep.alias("rep")), "wide-fp")
+    coarse = connected_components(compared(distinct, radius).select("src", "dst"))
+    members = distinct.select("node", "bits", "rep").join(coarse, "node")
+    found = connected_components(exact_links(docs, members, words, similarity, radius))
     rooted = distinct.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

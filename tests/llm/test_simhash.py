@@ -116,3 +116,50 @@ def test_similar_groups_follow_jaccard(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*set(truth), 900, None], key=str)
     assert S.keep_first(docs.limit(0)).collect() == []
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split(" ")[k : k + 5]) for k in range(t.count(" ") - 3)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_are_exact_on_both_sides_of_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 32)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts, linked, apart = [], 0, 0
+    for k in range(300):
+        n = rng.choice([*range(6, 21), 100, 150, 200])
+        base = [word() for _ in range(n)]
+        # Words cut off an end, added to it, or changed: similarities around 0.8.
+        for step in range(1 + n // 8):
+            own = list(base)
+            cut = step * max(1, n // 40)
+            own = own[cut:] + [word() for _ in range(k % 3 * cut // 2)]
+            texts.append(" ".join(own))
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i + 1, min(i + 30, len(texts))):
+            s = jaccard(texts[i], texts[j])
+            linked += 0.8 <= s < 0.84
+            apart += 0.74 <= s < 0.8
+            if s >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert linked > 50 and apart > 50
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_full_component_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 8)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(own), "en", "s", 1, 0))
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got.values()) == {0} and len(got) == 60
