@@ -73,12 +73,16 @@ def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     n = len(fps)
     bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8), axis=1, bitorder="little")
     planes = np.packbits(bits.T, axis=1, bitorder="little")
-    padding = ~np.packbits(np.ones(n, np.uint8), bitorder="little")
+    width = 8 * planes.shape[1]
     levels = max(1, int(radius).bit_length())
     label = np.arange(n)
     for at in range(0, n, BATCH_ROWS):
         own = bits[at : at + BATCH_ROWS]
-        over = np.broadcast_to(padding, (len(own), planes.shape[1])).copy()
+        # Padding, the row itself and the rows before it, which met it already,
+        # count as beyond the radius, so that a block without links is abandoned.
+        done = np.tri(len(own), width, at, np.uint8)
+        done[:, n:] = 1
+        over = np.packbits(done, axis=1, bitorder="little")
         counters = [np.zeros_like(over) for _ in range(levels)]
         for b in range(len(planes)):
             carry = planes[b] ^ (own[:, b : b + 1] * np.uint8(255))

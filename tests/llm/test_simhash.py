@@ -57,6 +57,16 @@ def test_near_pairs_connect_what_brute_force_links():
         assert label.tolist() == slow_components(list(range(len(fps))), [int(x) for x in fps], radius)
 
 
+def test_blocks_without_links_are_abandoned(monkeypatch):
+    calls = []
+    above = S._above
+    monkeypatch.setattr(S, "_above", lambda *a: calls.append(1) or above(*a))
+    n = 2 * S.BATCH_ROWS
+    fps = np.random.default_rng(4).integers(0, 2**63, (n, 4), dtype=np.uint64)
+    assert len(S.near_pairs(fps, 2)) == 0
+    assert len(calls) <= 16  # of 32 steps for each of two batches
+
+
 def test_groups_on_a_table(spark, monkeypatch):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
