@@ -1,8 +1,8 @@
 """Nearest reference athletes, tiers, gaps and confidence.
 
-A reference set of checked size is held as blocks of vectors that are broadcast;
-each query meets all of them on its own executor and only its best few survive,
-so nothing is shuffled.  A larger set goes through random-projection buckets.
+A reference set is held as hashed blocks of bounded rows.  Up to a checked size
+they are broadcast; beyond, queries meet them in a partitioned join.  Each query
+keeps its best few of every block, and the best of these are its answer.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from stridelake.functions import zero_is_missing
 
 #: Reference rows up to which an exact search broadcasts them.
 BROADCAST_ROWS = 200_000
+#: Expected reference rows of a block, and parts of the queries that each meet
+#: a copy of it where blocks are not broadcast.
+BLOCK_ROWS = 4096
+QUERY_PARTS = 16
 NO_MATCH, NO_DISTANCE, NO_CONFIDENCE = "—", 999.0, 88.5
 # Upper bounds of the tiers and their labels.
 TIERS = [(40, "$1.2M - Elite Tier"), (100, "$450k - D1 Prospect"), (200, "$180k - High School Elite"), (350, "$45k - Developmental")]
@@ -36,18 +40,28 @@ def distance(kind: str, a: Column, b: Column, norm_a: Column, norm_b: Column) ->
 def nearest(queries: DataFrame, index: DataFrame, kind: str = "cosine", k: int = 1, query_id: str = "clip_id") -> DataFrame:
     """``query_id, rank, id, distance``: the ``k`` nearest rows of ``index(id,
     weighted, norm)`` for each of ``queries(query_id, weighted, norm)``; equal
-    distances go by id.  For an index of at most ``BROADCAST_ROWS`` rows, which
-    is checked; use ``nearest_lsh`` beyond."""
-    size = index.limit(BROADCAST_ROWS + 1).count()
-    if size > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} reference rows: use nearest_lsh")
-    packed = index.where("norm > 0").select(F.struct("id", "weighted", "norm").alias("r")).agg(F.collect_list("r").alias("refs"))
-    one = F.broadcast(packed)
+    distances go by id.  Exact for an index of any size; query ids are distinct."""
+    refs = index.where("norm > 0")
+    size = refs.count()
+    blocks = max(1, -(-size // BLOCK_ROWS))
+    small = size <= BROADCAST_ROWS
+    packed = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", "weighted", "norm").alias("r")).groupBy("block").agg(F.collect_list("r").alias("refs"))
+    rows = queries.select(F.col(query_id), "weighted", "norm")
     # Each query's candidates are scored and cut to k inside its own row.
     scored = F.transform("refs", lambda r: F.struct(distance(kind, F.col("weighted"), r["weighted"], F.col("norm"), r["norm"]).alias("distance"), r["id"].alias("id")))
     best = F.array_compact(F.array(F.array_min(scored))) if k == 1 else F.slice(F.array_sort(scored), 1, k)
-    rows = queries.select(F.col(query_id), "weighted", "norm").join(one).select(query_id, F.posexplode(best).alias("rank", "b"))
-    return rows.select(query_id, (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
+    if small:
+        met = rows.join(F.broadcast(packed))
+    else:
+        packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(query_id), F.lit(QUERY_PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = rows.join(packed, ["block", "part"])
+    found = met.select(query_id, F.posexplode(best).alias("rank", "b"))
+    if blocks == 1:
+        return found.select(query_id, (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
+    if k == 1:
+        return found.groupBy(query_id).agg(F.min("b").alias("b")).select(query_id, F.lit(1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
+    return top_k(found.select(query_id, F.col("b.id").alias("id"), F.col("b.distance").alias("distance")), "distance", k, query_id).select(query_id, "rank", "id", "distance")
 
 
 def nearest_lsh(queries: DataFrame, index: DataFrame, query_id: str = "clip_id", threshold: float = 1.2, tables: int = 8, width: float = 0.9) -> DataFrame:
