@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import zero_is_missing
+from stridelake.sources import settled
 
 #: Reference rows up to which an exact search broadcasts them.
 BROADCAST_ROWS = 200_000
@@ -64,15 +65,25 @@ def nearest(queries: DataFrame, index: DataFrame, kind: str = "cosine", k: int =
     return top_k(found.select(query_id, F.col("b.id").alias("id"), F.col("b.distance").alias("distance")), "distance", k, query_id).select(query_id, "rank", "id", "distance")
 
 
-def nearest_lsh(queries: DataFrame, index: DataFrame, query_id: str = "clip_id", threshold: float = 1.2, tables: int = 8, width: float = 0.9) -> DataFrame:
+def nearest_lsh(queries: DataFrame, index: DataFrame, query_id: str = "clip_id", threshold: float = 1.2, tables: int = 8, width: float = 0.9, leave_out_self: bool = False) -> DataFrame:
     """Nearest by cosine for large reference sets: unit vectors meet in buckets
-    of random projections; pairs beyond ``threshold`` (L2 of unit vectors) or
-    that share no bucket are not found."""
+    of random projections.  A query that meets nothing within ``threshold`` (L2
+    of unit vectors) is answered by the exact search.  ``leave_out_self`` drops
+    the row whose id is the query's own."""
     as_unit = lambda df, key: df.where("norm > 0").select(F.col(key).alias("key"), array_to_vector(F.transform("weighted", lambda v: v / F.col("norm"))).alias("unit"))
     left, right = as_unit(queries, query_id), as_unit(index, "id")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=width, numHashTables=tables, seed=7).fit(right)
     pairs = model.approxSimilarityJoin(left, right, threshold, "l2").select(F.col("datasetA.key").alias(query_id), F.col("datasetB.key").alias("id"), F.col("l2"))
-    return pairs.groupBy(query_id).agg(F.min_by(F.struct("id", "l2"), F.struct("l2", "id")).alias("b")).select(query_id, F.col("b.id").alias("id"), (F.col("b.l2") * F.col("b.l2") / 2).alias("distance"))
+    if leave_out_self:
+        pairs = pairs.where(F.col(query_id) != F.col("id"))
+    best = pairs.groupBy(query_id).agg(F.min_by(F.struct("id", "l2"), F.struct("l2", "id")).alias("b")).select(query_id, F.col("b.id").alias("id"), (F.col("b.l2") * F.col("b.l2") / 2).alias("distance"))
+    best = settled(best)
+    rest = queries.where("norm > 0").join(best.select(query_id), query_id, "left_anti")
+    exact = nearest(rest, index, "cosine", 2 if leave_out_self else 1, query_id)
+    if leave_out_self:
+        exact = exact.where(F.col(query_id) != F.col("id"))
+    exact = exact.groupBy(query_id).agg(F.min(F.struct("distance", "id")).alias("b")).select(query_id, F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
+    return best.unionByName(exact)
 
 
 def tier(distance_: Column) -> Column:

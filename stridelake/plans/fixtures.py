@@ -98,13 +98,23 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, BOX, "select * from box", sf_dir, "lineitem", "supplier")
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (``vec_id`` divisible by 20) and an index of every row."""
+    rows = _vectors(spark, sf_dir)
+    return rows.where("vec_id % 20 = 0"), rows.withColumnRenamed("vec_id", "id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries (odd ``vec_id``) and index (even) from ``embeddings``."""
-    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("weighted"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("weighted", F.lit(0.0), lambda t, v: t + v * v)))
+    rows = _vectors(spark, sf_dir)
     return rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "id")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("weighted"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("weighted", F.lit(0.0), lambda t, v: t + v * v)))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON report per clip; its feedback is a list, a text, or missing."""
     feedback = F.when(F.col("clip_id") % 3 == 0, F.lit('[{"timestamp":"0:01","category":"form","observation":"steady"},{"timestamp":"0:02","category":"power","observation":"late"}]')).when(F.col("clip_id") % 3 == 1, F.concat(F.lit('"keep going '), F.col("clip_id").cast("string"), F.lit('"')))

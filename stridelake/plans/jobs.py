@@ -245,8 +245,8 @@ def nn_topk(spark, d):
 
 @query
 def nn_lsh(spark, d):
-    q, i = fixtures.vectors(spark, d)
-    return match.nearest_lsh(q, i, "vec_id")
+    q, i = fixtures.all_vectors(spark, d)
+    return match.nearest_lsh(q, i, "vec_id", leave_out_self=True)
 
 
 @query

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from stridelake.operators import match
+from stridelake.plans.jobs import Q
 
 SCHEMA = "weighted array<double>, norm double"
 
@@ -23,3 +24,18 @@ def test_nearest_is_exact_at_any_index_size(spark, monkeypatch, kind, k, broadca
     d = 1 - unit(asked) @ unit(refs).T if kind == "cosine" else np.linalg.norm(asked[:, None] - refs[None], axis=2)
     want = {(q, r + 1): int(i) for q in range(25) for r, i in enumerate(sorted(range(120), key=lambda i: (round(d[q, i], 9), i))[:k])}
     assert {(r.clip_id, r["rank"]): r.id for r in got} == want
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_lsh_recall(spark, size):
+    base = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{base}/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T
+    np.fill_diagonal(near, -np.inf)
+    want = {int(i): int(ids[near[k].argmax()]) for k, i in enumerate(ids) if i % 20 == 0}
+    got = {r.vec_id: r.id for r in Q["nn_lsh"](spark, base).collect()}
+    recall = np.mean([got.get(q) == i for q, i in want.items()])
+    print("recall", size, len(want), recall)
+    assert set(got) == set(want) and recall >= 0.9
