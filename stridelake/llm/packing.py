@@ -17,17 +17,16 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import grouped, materialize
+from stridelake.llm.common import materialize
 
 LIMIT = 4096
 END_ID = 1
@@ -35,9 +34,10 @@ END_ID = 1
 PARTNERS = 24
 #: Pieces of one length ranked by one task.
 RANKED_TOGETHER = 4000
-CACHE_CHUNKS = 250_000
-#: Characters encoded together.
-GROUP_CHARS = 2_000_000
+#: Parts of one length whose counts are added up together.
+PARTS_TOGETHER = 1024
+#: Bytes of text encoded together.
+GROUP_BYTES = 16_000_000
 
 
 class ChunkTokenizer:
@@ -45,73 +45,93 @@ class ChunkTokenizer:
 
     The vocabulary drops white space and no rule of its normaliser or its
     pattern reaches across a space, so a text's ids are those of its chunks.
-    Most chunks are one word and a mark or two; their words meet in lower case,
-    and new ones are encoded by the library together, as words of one text.
+    A batch's different chunks are found in Arrow.  Nearly all are one word and
+    a mark or two; their words meet in lower case, and the library's model
+    encodes the different ones together.  Any other chunk, and any text that
+    spells a special token, goes to the library as it is.  Nothing is kept from
+    batch to batch.
     """
 
     #: A word and what follows it, where the pattern cuts right between them;
     #: only letters whose lower case and composition do not depend on others.
-    simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    simple = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, np.uint32) for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        found = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, "<u4")
-        cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
-        if len(cuts) != len(words) + 1:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words in a row, and how many each has."""
+        lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(found.ids, np.uint32) for found in self.words.encode_batch_fast(lines, add_special_tokens=False)] or [np.empty(0, np.uint32)])
+        sizes = np.diff(np.concatenate(([0], np.flatnonzero(self.ends_word[ids]) + 1)))
+        if len(sizes) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
-        raw = ids.tobytes()
-        self.words.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(words, cuts, cuts[1:]))
-
-    def _learn(self, chunks: list[str]) -> None:
-        split, rest = [], []
-        for chunk in chunks:
-            cut = self.simple.fullmatch(chunk)
-            if cut:
-                split.append((chunk, cut[1].lower(), cut[2]))
-            else:
-                rest.append(chunk)
-        if len(self.words) > CACHE_CHUNKS:
-            self.words = {"": b""}
-        new = list({w for _, w, _ in split}.difference(self.words))
-        if new:
-            self._learn_words(new)
-        marks = list({m for _, _, m in split}.difference(self.words))
-        self.words.update(zip(marks, self._ids(marks)))
-        for chunk, word, mark in split:
-            self.known[chunk] = self.words[word] + self.words[mark]
-        self.known.update(zip(rest, self._ids(rest)))
+        return ids, sizes
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one whole text."""
-        return next(self.encode_many([text]))
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") for t in texts]
-        chunks = set().union(*cut)
-        new = chunks.difference(self.known)
-        if new and len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
-            new = chunks
-        if new:
-            self._learn(list(new))
-        for own in cut:
-            yield b"".join(map(self.known.__getitem__, own))
+        return self.encode_all(pa.array([text]))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) in a row, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks, which = coded.dictionary, coded.indices.to_numpy()
+        cut = pc.extract_regex(chunks, self.simple)
+        whole = pc.is_null(cut).to_numpy(zero_copy_only=False)
+        words = pc.utf8_lower(pc.fill_null(cut.field("word"), "")).dictionary_encode()
+        marks = pc.fill_null(cut.field("mark"), "").dictionary_encode()
+        rest = chunks.filter(pa.array(whole))
+        # Units: the different words, marks, and other chunks; a chunk is two.
+        own = words.dictionary.to_pylist()
+        there = [k for k, w in enumerate(own) if w]
+        ids, sizes = self._words([own[k] for k in there])
+        word_sizes = np.zeros(len(own), np.int64)
+        word_sizes[there] = sizes
+        others = self._each(marks.dictionary.to_pylist() + rest.to_pylist())
+        units = np.concatenate([ids, *others]) if others else ids
+        sizes = np.concatenate([word_sizes, np.fromiter(map(len, others), np.int64, len(others))])
+        first, second = words.indices.to_numpy().astype(np.int64), marks.indices.to_numpy() + len(own)
+        first[whole] = len(own) + len(marks.dictionary) + np.arange(len(rest))
+        flat, sizes = _gathered(units, sizes, np.stack([first, second], axis=1).ravel())
+        flat, sizes = _gathered(flat, sizes.reshape(-1, 2).sum(axis=1), which)
+        opens = np.diff(lists.offsets.to_numpy())
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.concatenate(([0], np.cumsum(opens)))
+        counts = total[at[1:]] - total[at[:-1]]
+        if odd.any():
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for k, found in zip(np.flatnonzero(odd), self._each(texts.filter(pa.array(odd)).to_pylist())):
+                parts[k], counts[k] = found, len(found)
+            flat = np.concatenate(parts)
+        return flat, counts
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat``, whose runs have ``sizes``, in a row."""
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[which]
+    shift = starts[which] - (np.cumsum(own) - own)
+    return flat[np.repeat(shift, own) + np.arange(own.sum())], own
 
 
 @lru_cache(maxsize=4)
@@ -125,23 +145,31 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fals
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        tokenizer, end = load(path), np.array([END_ID], "<u4").tobytes()
+        tokenizer = load(path)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5 + with_ids)]
-            texts = grouped((x.as_py() or "" for x in batch.column(1)), GROUP_CHARS)
-            for doc, own in zip(batch.column(0).to_pylist(), (ids for group in texts for ids in tokenizer.encode_many(group))):
-                ids = own + end
-                for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                    own = ids[at : at + 4 * limit]
-                    for column, value in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own))):
-                        column.append(value)
-                    if with_ids:
-                        rows[5].append(np.frombuffer(own, "<u4").astype(np.int32))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-        # The worker process serves other operators next: leave it small.
-        tokenizer.known.clear()
-        tokenizer.words = {"": b""}
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(size) // GROUP_BYTES
+            for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
+                if len(at):
+                    yield cut(tokenizer, batch.slice(int(at[0]), len(at)))
+
+    def cut(tokenizer, batch):
+        flat, counts = tokenizer.encode_all(batch.column(1))
+        # Each text's ids end with the mark.
+        flat = np.insert(flat, np.cumsum(counts), END_ID).astype("<u4")
+        counts = counts + 1
+        each = -(-counts // limit)
+        doc = np.repeat(np.arange(len(counts)), each)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+        start = piece * limit
+        length = np.minimum(limit, counts[doc] - start)
+        place = np.concatenate(([0], np.cumsum(length)))
+        raw = memoryview(flat).cast("B")
+        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(place[:-1].tolist(), place[1:].tolist())]
+        columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(flat.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -249,13 +277,19 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     length, first, sequence, offset = slots(plan(hist, limit))
     key = spark.sparkContext.broadcast((length << 40 | first, first, sequence, offset))
 
-    # A rank among all pieces of one length, counted in parts: no length, not
-    # even one that a third of all rows share, is ordered by a single task.
+    # A rank among all pieces of one length, counted in parts and parts of
+    # parts: no length, not even one that a third of all rows share, is ordered
+    # by a single task.
     parts = int(hist.sum() // RANKED_TOGETHER + 1)
-    salted = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    before = salted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = before.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1)
+    salt = F.col("_salt") if "_salt" in cut.columns else F.xxhash64("doc_id", "piece")
+    cut = cut.withColumn("_part", F.pmod(salt, F.lit(parts)).cast("int")).drop("_salt")
+    counts = cut.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_part") / PARTS_TOGETHER))
+    groups = counts.groupBy("length", "_group").agg(F.sum("_n").alias("_all"))
+    groups = groups.select("length", "_group", (F.sum("_all").over(Window.partitionBy("length").orderBy("_group")) - F.col("_all")).alias("_ahead"))
+    inside = F.sum("_n").over(Window.partitionBy("length", "_group").orderBy("_part")) - F.col("_n")
+    before = counts.withColumn("_inside", inside).join(groups, ["length", "_group"]).select("length", "_part", (F.col("_ahead") + F.col("_inside")).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1)
+    cut = cut.drop("_part")
     ranked = ranked.join(before, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_rank")).drop("_part", "_before")
     out = cut.schema.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
@@ -272,7 +306,10 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
-    return pack(materialize(pieces(docs, path, limit, with_ids), "pieces"), limit)
+    """Pieces with their places; the ids themselves are there if asked for."""
+    # The salt is written with the rows, so that equal rows part for good.
+    made = pieces(docs, path, limit, with_ids).withColumn("_salt", F.floor(F.rand() * (1 << 40)))
+    return pack(materialize(made, "pieces"), limit)
 
 
 def op7_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:
