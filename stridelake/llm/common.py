@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,20 +36,65 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     A lost executor costs nothing that was written, and later steps see true
     sizes.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
+    return written(df, fresh_path(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Bytes of a table up to which it may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
+def small_side(written_table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows, at
+    ``row_bytes`` each, stay below ``BROADCAST_BYTES``; as it is beyond, where
+    the join shuffles."""
+    return F.broadcast(written_table) if written_table.count() * row_bytes <= BROADCAST_BYTES else written_table
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Short Arrow batches for what runs inside, then the setting as it was:
+    whole texts are long, and a batch is held several times over between Spark
+    and its Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(src long, dst long)`` with its component's
     smallest node: columns ``node, component``.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014).  Each is
-    a partially aggregated minimum and an equi-join on the node, so a node with
-    very many neighbours is split like any skewed join; links never reach the
-    driver.  Self-loops and repeated edges are ignored.  Empty in, empty out.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until
+    nothing changes.  Each is a partially aggregated minimum and an equi-join on
+    the node, so a node with very many neighbours is split like any skewed join;
+    links never reach the driver.  Self-loops and repeated edges are ignored.
+    Empty in, empty out.
     """
 
     def swapped(e: DataFrame) -> DataFrame:
@@ -71,18 +117,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    current = materialize(edges.select("src", "dst").where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
+    spark = edges.sparkSession
+    path = fresh_path(spark, "cc")
+    current = written(edges.select("src", "dst").where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), path)
     before = state(current)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        current = materialize(small(large(current)), "cc")
+    while before[0]:
+        last, path = path, fresh_path(spark, "cc")
+        current = written(small(large(current)), path)
+        discard(spark, last)
         after = state(current)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.groupBy("src").agg(F.min("dst").alias("dst"))
     roots = current.select(F.col("dst").alias("node")).distinct()
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import connected_components, materialize, merge_labels
+from stridelake.llm.common import connected_components, materialize, merge_labels, small_batches, small_side, unused
 
 RADIUS = 2
 #: Rows of one bit-sliced block; a fuller bucket is compared chunk by chunk.
@@ -122,27 +122,60 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("four blocks leave two untouched only up to radius 2")
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     tables = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.array(*[F.shiftleft(block(i), 16).bitwiseOR(block(j)) for i, j in tables])
-    return compared(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("bits"), keys.alias("keys")), radius)
+    keys = F.array(*[F.lit(t << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for t, (i, j) in enumerate(tables)])
+    return compared(distinct.select(F.col("fp").alias("node"), F.explode(keys).alias("g")), None, radius)
 
 
-def compared(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges ``src, dst`` between rows of ``rows(node, bits, keys)`` that share
-    a key at the same place and whose bits differ at ``radius`` places at most."""
-    rows = rows.select("node", "bits", F.posexplode("keys").alias("t", "k"))
-    filled = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(filled, ["t", "k"])
-    # Chunks of a full bucket meet pairwise, so no task holds more than two.
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("node", "t"), chunks).cast("int"))
-    rows = rows.select("node", "bits", "t", "k", F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi")))).alias("p")).select("node", "bits", F.xxhash64("t", "k", "p.lo", "p.hi").alias("g"))
+def compared(rows: DataFrame, bits: DataFrame | None, radius: int) -> DataFrame:
+    """Edges ``src, dst`` that connect all nodes of ``rows(node, g)`` that share
+    a ``g`` and whose bits differ at ``radius`` places at most.  ``bits(node,
+    bits)`` holds the bits; without it a node is its own 64 bits."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, bits in _blocks(batches):
-            a = near_pairs(bits, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
+    def blocks(dealt: DataFrame) -> DataFrame:
+        with_bits = dealt.withColumn("bits", F.array("node")) if bits is None else dealt.join(bits, "node")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for nodes, own in _blocks(batches):
+                a = near_pairs(own, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
+
+        return with_bits.select("node", "bits", "p").repartition("p").sortWithinPartitions("p").mapInArrow(run, "src long, dst long")
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "src long, dst long")
+    return linked_in_parts(rows.select("g", "node", F.lit(1).alias("w")), CHUNK, blocks)
+
+
+def linked_in_parts(rows: DataFrame, capacity: int, blocks) -> DataFrame:
+    """Edges that connect, in each group of ``rows(g, node, w, ...)``, all nodes
+    that link, however large the group is.
+
+    ``blocks`` takes rows with ``p`` and ``label`` columns and gives edges that
+    connect what links within each ``p``; nodes with equal labels are connected
+    already.  A group of more weight than ``capacity`` is dealt to parts that
+    all hold its smallest node too, which connects most of it.  Where that
+    leaves several components, the smaller ones also meet every part, and
+    nothing meets again inside the largest.  So a row is copied once for each
+    part of the rest, not for each part of its group.
+    """
+    sized = rows.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.sum("w") / capacity).cast("int").alias("parts"), F.min("node").alias("hub")).where("n > 1")
+    rows = rows.join(sized.drop("n"), "g")
+    share = lambda parts: F.pmod(F.xxhash64("node", "g"), parts).cast("int")
+    places = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(share(F.col("parts"))))
+    dealt = rows.withColumn("c", F.explode(places)).withColumn("p", F.when(F.col("parts") > 1, F.xxhash64("g", "c")).otherwise(F.col("g")))
+    first = materialize(blocks(dealt.drop("parts", "hub", "c", "g", "w").withColumn("label", F.col("node"))), "links")
+    crowded = rows.where("parts > 1").drop("parts", "hub")
+    if crowded.isEmpty():
+        return first
+    named = connected_components(first).withColumnRenamed("node", "of")
+    crowded = materialize(crowded.join(named, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("component", "node")).drop("of", "component"), "crowded")
+    sums = crowded.groupBy("g", "label").agg(F.sum("w").alias("w"))
+    rest = sums.groupBy("g").agg(F.max_by("label", "w").alias("main"), F.max("w").alias("most"), F.sum("w").alias("all")).where("all > most")
+    part = lambda c: F.ceil(c / capacity).cast("int")
+    open_ = crowded.join(rest.select("g", "main", part(F.col("most")).alias("a"), part(F.col("all") - F.col("most")).alias("b")), "g")
+    inside = F.col("label") == F.col("main")
+    open_ = open_.withColumn("c", F.when(inside, share(F.col("a"))).otherwise(F.col("a") + share(F.col("b"))))
+    open_ = open_.withColumn("o", F.explode(F.sequence(F.when(inside, F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1)))
+    met = open_.withColumn("p", F.xxhash64("g", F.least("c", "o"), F.greatest("c", "o")))
+    return first.unionByName(materialize(blocks(met.drop("main", "a", "b", "c", "o", "g", "w")), "links"))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], least: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -244,17 +277,18 @@ def wide_fingerprint(own: np.ndarray) -> tuple[list[int], list[int]]:
             counts += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         fp.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<i8")[0]))
     least = np.array([_mixed(own, 100 + k).min() for k in range(2 * BANDS)], np.uint64)
-    keys = _mixed(least[::2] ^ (least[1::2] * np.uint64(3)), 7)
+    keys = _mixed(least[::2] ^ (least[1::2] * np.uint64(3)) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(56)), 7)
     return fp, keys.view(np.int64).tolist()
 
 
-def exact_pairs(bits: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+def exact_pairs(bits: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int, label: np.ndarray | None = None) -> np.ndarray:
     """Forest of links ``(row, row)`` that connects all rows whose ``sets``
     (sorted, distinct) have a Jaccard similarity of at least ``similarity``;
-    sets are counted where the bits differ at ``radius`` places at most."""
+    sets are counted where the bits differ at ``radius`` places at most, and
+    where equal labels do not connect the rows already."""
     part = Fraction(str(similarity))
     size = np.array([len(x) for x in sets])
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1]
     found = []
     for i in range(len(sets) - 1):
         rest = np.arange(i + 1, len(sets))
@@ -278,48 +312,51 @@ def exact_pairs(bits: np.ndarray, sets: list[np.ndarray], similarity: float, rad
 
 def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """Edges ``src, dst`` that connect the nodes of each component of
-    ``members(node, bits, component, rep)`` by exact Jaccard similarity; ``rep``
-    names the row of ``docs`` that a node's shingles are taken from."""
+    ``members(node, bits, component, doc, h)`` (a written table) by exact
+    Jaccard similarity; ``doc`` and ``h`` (a hash of the text) name the row of
+    ``docs`` that a node's shingles are taken from."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(3)]
             size = pa.array([len(x) for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int64())), size], names=["node", "component", "bits", "own", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int64())), size], names=["node", "g", "bits", "own", "w"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("h"))
-    wanted = members.select("node", "component", "bits", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.h").alias("rep_h"))
-    rows = texts.join(wanted, (F.col("h") == F.col("rep_h")) & F.col("doc").eqNullSafe(F.col("rep_doc")))
-    rows = materialize(rows.select("node", "component", "bits", "text").mapInArrow(run, "node long, component long, bits array<long>, own array<long>, size long"), "wide-sets")
-    # Parts of a full component meet pairwise, so no task holds more than two.
-    parts = rows.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("parts"))
-    rows = rows.join(parts, "component").withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.select("node", "bits", "own", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi")))).alias("p")).select("node", "bits", "own", F.xxhash64("component", "p.lo", "p.hi").alias("g"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("of"), "text", F.xxhash64("text").alias("own_h"))
+    wanted = small_side(members, 120)
+    rows = texts.join(wanted, (F.col("own_h") == F.col("h")) & F.col("of").eqNullSafe(F.col("doc")))
+    rows = materialize(rows.select("node", "component", "bits", "text").mapInArrow(run, "node long, g long, bits array<long>, own array<long>, w long"), "wide-sets")
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, bits, sets in _whole_groups(batches):
-            a = exact_pairs(bits, sets, similarity, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
+    def blocks(dealt: DataFrame) -> DataFrame:
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for nodes, bits, sets, label in _whole_groups(batches):
+                a = exact_pairs(bits, sets, similarity, radius, label)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a[:, 0]]), pa.array(nodes[a[:, 1]])], names=["src", "dst"])
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "src long, dst long")
+        return dealt.select("node", "bits", "own", "label", "p").repartition("p").sortWithinPartitions("p").mapInArrow(compare, "src long, dst long")
 
+    # At least so much for a row that a part never holds too many short texts.
+    return linked_in_parts(rows.withColumn("w", F.greatest("w", F.lit(CHUNK_SHINGLES // CHUNK))), CHUNK_SHINGLES, blocks)
 
-def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """``node, bits, own`` of each group of the sorted stream, one row a node."""
 
-    def made(held: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        return np.array(list(held), np.int64), np.array([x[0] for x in held.values()]), [x[1] for x in held.values()]
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """``node, bits, own, label`` of each group of the sorted stream, one row a
+    node."""
+
+    def made(held: dict) -> tuple:
+        rows = list(held.values())
+        return np.array(list(held), np.int64), np.array([x[0] for x in rows]), [x[1] for x in rows], np.array([x[2] for x in rows])
 
     held: dict = {}
     last = None
     for batch in batches:
-        for node, bits, own, g in zip(*(batch.column(k) for k in range(4))):
-            if g.as_py() != last:
+        for node, bits, own, label, p in zip(*batch.columns):
+            if p.as_py() != last:
                 if len(held) > 1:
                     yield made(held)
-                held, last = {}, g.as_py()
+                held, last = {}, p.as_py()
             # Copied, so that a group does not hold whole batches.
-            held[node.as_py()] = (bits.values.to_numpy().view(np.uint64).copy(), own.values.to_numpy().view(np.uint64).copy())
+            held[node.as_py()] = (bits.values.to_numpy().view(np.uint64).copy(), own.values.to_numpy().view(np.uint64).copy(), label.as_py())
     if len(held) > 1:
         yield made(held)
 
@@ -331,7 +368,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Rows that share a pair of least shingle hashes and whose wide fingerprints,
     compared bit-sliced, are not too far apart make coarse components; inside
     these the distinct shingles of the rows are compared exactly.  At 0.8 about
-    one link in a million shares none of the ``BANDS`` pairs."""
+    one link in a million shares none of the ``BANDS`` pairs.
+
+    Null and blank texts have one common shingle and are copies of each other;
+    shorter texts than ``words`` have one shingle, all their words."""
     radius = wide_radius(similarity)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +383,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["doc_id", "h", "bits", "keys", "node"])
 
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, bits array<long>, keys array<long>, node long"), "wide")
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), rep.alias("rep")), "wide-fp")
-    coarse = connected_components(compared(distinct, radius).select("src", "dst"))
-    members = distinct.select("node", "bits", "rep").join(coarse, "node")
-    found = connected_components(exact_links(docs, members, words, similarity, radius))
+    with small_batches(docs.sparkSession):
+        marked = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, bits array<long>, keys array<long>, node long"), "wide")
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+        distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), rep.alias("rep")), "wide-fp")
+        coarse = connected_components(compared(distinct.select("node", F.explode("keys").alias("g")), distinct.select("node", "bits"), radius))
+        members = materialize(distinct.select("node", "bits", F.col("rep.doc_id").alias("doc"), F.col("rep.h").alias("h")).join(coarse, "node"), "members")
+        found = connected_components(exact_links(docs, members, words, similarity, radius))
     rooted = distinct.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
@@ -357,13 +398,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group: the
     one with the smallest doc_id stays, once if its row is repeated; rows
-    without a doc_id stay."""
-    group = similar_groups(docs, words, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_first"), F.count("*").alias("_copies")).withColumnRenamed("doc_id", "_doc")
-    kept = docs.join(materialize(group, "first"), F.col("doc_id") == F.col("_doc"), "left").where("_first = 1 or doc_id is null")
+    without a doc_id stay.  Only ids go through the decision; the texts meet
+    its outcome once."""
+    gone, of, text = unused(docs, "_gone", "_of", "_text")
+    groups = similar_groups(docs, words, similarity).where("doc_id is not null")
+    verdict = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("copies"))
+    verdict = materialize(verdict.where("first = 0 or copies > 1"), "verdict")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.where("coalesce(_copies, 1) = 1").select(*names)
-    again = kept.where("_copies > 1").withColumn("_text", F.xxhash64("text")).dropDuplicates(["_doc", "_text"]).select(*names)
-    return once.unionByName(again)
+    out = small_side(verdict.select(F.col("doc_id").alias(of), F.lit(True).alias(gone)), 32)
+    kept = docs.join(out, F.col("doc_id") == F.col(of), "left").where(F.col(gone).isNull()).select(*names)
+    again = verdict.where("first = 1").select(F.col("doc_id").alias(of))
+    if again.isEmpty():
+        return kept
+    # Ids that several rows have: few, so their rows alone are compared by text.
+    twice = docs.join(small_side(materialize(again, "again"), 24), F.col("doc_id") == F.col(of)).withColumn(text, F.xxhash64("text"))
+    return kept.unionByName(twice.dropDuplicates([of, text]).select(*names))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -173,3 +174,63 @@ def test_full_component_is_compared_in_parts(spark, monkeypatch):
         rows.append((i, " ".join(own), "en", "s", 1, 0))
     got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
     assert set(got.values()) == {0} and len(got) == 60
+
+
+def test_parts_that_the_smallest_node_does_not_connect(spark, monkeypatch):
+    """A chain: each text links with the next ones only, so the parts' common
+    node leaves several components, which meet again."""
+    monkeypatch.setattr(S, "CHUNK", 8)
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120]), "en", "s", 1, 0) for i in range(60)]
+    rows += [(100 + i, " ".join(words[3 * i : 3 * i + 120]), "en", "s", 1, 0) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got.values()) == {0} and len(got) == 120
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = [(5, "a b c d e f g", 1, "x", 2), (5, "a b c d e f g", 1, "x", 2), (7, "A b c d e f g", 1, "y", 3), (8, None, 2, None, None), (9, "  ", 2, None, None), (10, "word " * 30000, 3, "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _Of string, _text int")
+    got = S.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [5, 8, 10]
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """Every pair of the table with a five-word Jaccard of 0.8 is found, no
+    other: an exact join by prefix filtering is the measure."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: S.shingles(t).tolist() for i, t in texts.items()}
+    often = Counter(x for s in sets.values() for x in s)
+    index, seen, pairs = {}, {}, set()
+    for i in sorted(sets):
+        own = sorted(sets[i], key=lambda x: (often[x], x))
+        same = tuple(own)
+        if same in seen:
+            pairs.add((seen[same], i))
+            continue
+        seen[same] = i
+        near = {j for x in own[: len(own) - -(-4 * len(own) // 5) + 1] for j in index.get(x, ())}
+        mine = set(own)
+        for j in near:
+            both = len(mine.intersection(sets[j]))
+            if 5 * both >= 4 * (len(mine) + len(sets[j]) - both):
+                pairs.add((j, i))
+        for x in own[: len(own) - -(-4 * len(own) // 5) + 1]:
+            index.setdefault(x, []).append(i)
+    want = {i: i for i in texts}
+
+    def root(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        want[b] = a
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    print("near-copy links", len(pairs), "found", found)
+    assert found >= 0.99 * len(pairs) and len(pairs) > 100
+    assert sum(got[i] != root(i) for i in texts) <= 0.01 * len(pairs)
