@@ -6,27 +6,28 @@ does from its leftmost ones, and only where it can matter:
 
 1. Sampling.  Each window picks its smallest hashed ``GRAM``-byte gram, so
    equal windows pick equal suffixes at equal offsets.  A run of windows with
-   one pick is a suffix tuple: gram hash, neighbourhood hash, document, place.
-   Tuples whose gram occurs once in the corpus are dropped by a distributed
-   count; tuples that share a whole neighbourhood are duplicates as they are,
-   and one of them stands for all.
-2. Sorting.  What remains (the edges of repeated passages) carries the bytes
-   around its place.  Spark's external sorter orders the sampled suffixes of
-   each gram on disk; neighbours' common prefixes are taken from their bytes.
+   one pick is a suffix tuple: gram, and the bytes around it that the windows
+   cover.  A distributed count of the grams leaves out tuples that cannot
+   repeat; it is only a filter, and what it lets through is compared by bytes.
+   Equal tuples of a batch travel as one with their places, equal tuples of the
+   corpus are sorted as one with their number.
+2. Sorting.  Spark's external sorter (runs on disk, merged by a priority queue)
+   orders the sampled suffixes of each gram; neighbours' common prefixes are
+   taken from their bytes.
 3. Induction.  From the order of suffixes at one place follows the order one
    byte earlier: a stable sort by the preceding byte, with common-prefix values
    carried along as range minima plus one.  A window repeats where the value
-   next to it reaches ``WINDOW``.
+   next to it reaches ``WINDOW``, or where its tuple occurs more than once.
 
-A gram with more than ``GROUP`` neighbourhoods is not sorted by one task: its
+A gram with more than ``GROUP`` different tuples is not sorted by one task: the
 tuples are split into ranges of offsets, each keyed by the bytes all its windows
-share, and go through the same counts again, down to single windows, which are
-settled by their count alone.
+share, and the three steps recur on the ranges, down to single windows.
 
 Edge cases: null text counts as empty; texts shorter than the window keep all;
-rows with equal texts remove each other's; a document repeats itself like any
-other; matches never cross documents; an empty table gives an empty result;
-extra columns are ignored or, by ``dedup``, kept.
+rows with equal texts remove each other's, and are sampled once where the table
+of such texts is small; a document repeats itself like any other; matches never
+cross documents; an empty table gives an empty result; extra columns are ignored
+or, by ``dedup``, kept whatever their names.
 """
 
 from __future__ import annotations
@@ -39,36 +40,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import BROADCAST_BYTES, materialize, small_batches, small_side, unused
 
 WINDOW = 200
 GRAM = 32
-#: Neighbourhoods of one gram sorted together.
-GROUP = 1000
+#: Different tuples of one gram sorted together.
+GROUP = 4000
 #: Offsets in one range, level by level.
 SPLITS = (64, 16, 4, 1)
 SEGMENT = 1 << 18
 SORT_ROWS = 16_384
+#: Places after which a batch's equal tuples are sent on.
+HELD_PLACES = 200_000
 _MASK = np.uint64((1 << 24) - 1)
 
 
 class _Hasher:
-    """Polynomial hashes of all substrings of up to a segment, modulo 2**64."""
+    """Polynomial hashes of all grams of up to a segment, modulo 2**64."""
 
     def __init__(self, size: int):
-        self.tables, self.powers, self.inverses = [], [], []
-        for which in range(2):
-            self.tables.append(np.array([int.from_bytes(hashlib.blake2b(bytes([b, which]), digest_size=8).digest(), "little") for b in range(256)], np.uint64))
-            base = int.from_bytes(hashlib.blake2b(bytes([which]), digest_size=8).digest(), "little") | 5
-            for target, step in ((self.powers, base), (self.inverses, pow(base, -1, 1 << 64))):
-                run = np.full(size, step, np.uint64)
-                run[0] = 1
-                target.append(np.cumprod(run, dtype=np.uint64))
+        digest = lambda x: int.from_bytes(hashlib.blake2b(bytes(x), digest_size=8).digest(), "little")
+        self.table = np.array([digest([b, 0]) for b in range(256)], np.uint64)
+        base = digest([0]) | 5
+        self.powers, self.inverses = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        for run in (self.powers, self.inverses):
+            run[0] = 1
+            np.cumprod(run, out=run)
 
-    def prefix(self, data: np.ndarray, which: int) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.tables[which][data] * self.powers[which][: len(data)], out=out[1:])
-        return out
+    def grams(self, data: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.powers[: len(data)], out=sums[1:])
+        return mix((sums[GRAM:] - sums[:-GRAM]) * self.inverses[: len(data) - GRAM + 1])
 
 
 _hasher: list[_Hasher] = []
@@ -118,12 +120,11 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def tuples(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Suffix tuples of some texts: row, gram hash, neighbourhood hash, and
-    place (first window << 16 | pick - first << 8 | last - first)."""
+    """Suffix tuples of some texts: row, gram hash, and place (first window <<
+    16 | pick - first << 8 | last - first)."""
     own = hasher()
     for data, rows, starts, bases in segments(texts):
-        grams_of, wide = own.prefix(data, 0), own.prefix(data, 1)
-        grams = mix((grams_of[GRAM:] - grams_of[:-GRAM]) * own.inverses[0][: len(data) - GRAM + 1])
+        grams = own.grams(data)
         picks = sliding_min((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1) & _MASK
         ends = np.append(bases[1:], len(data))
         edge = np.zeros(len(data) + 1, np.int32)
@@ -135,26 +136,84 @@ def tuples(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         new[1:] = (np.diff(at) != 1) | (np.diff(pick) != 0)
         cut = np.flatnonzero(new)
         first, last, pick = at[cut], at[np.append(cut[1:], len(at)) - 1], pick[cut]
-        shape = (pick - first) << 8 | (last - first)
-        near = mix((wide[last + WINDOW] - wide[first]) * own.inverses[1][first] + mix(shape.astype(np.uint64) + np.uint64(1)))
         part = np.searchsorted(bases, first, "right") - 1
-        yield rows[part], grams[pick].view(np.int64), near.view(np.int64), (starts[part] + first - bases[part]) << 16 | shape
+        yield rows[part], grams[pick].view(np.int64), (starts[part] + first - bases[part]) << 16 | (pick - first) << 8 | (last - first)
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sample(keyed: DataFrame) -> DataFrame:
-    """Suffix tuples ``h, n, d, k, pos`` of ``keyed(d, k, text)``."""
+# -- sampling ----------------------------------------------------------------
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """``h, c``: how often each picked gram occurs, over ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, h, n, pos in tuples(_bytes_of(batch.column(2))):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, d[row], k[row], pos)], names=["h", "n", "d", "k", "pos"])
+            for _, h, _ in tuples(_bytes_of(batch.column(0))):
+                found, times = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["h", "c"])
 
-    return keyed.select("d", "k", "text").mapInArrow(run, "h long, n long, d long, k long, pos long")
+    return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def own_grams(texts: DataFrame) -> DataFrame:
+    """``k1, k2, h``: the grams that each text picks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, h, _ in tuples(_bytes_of(batch.column(2))):
+                pairs = np.unique(np.stack([row, h], axis=1), axis=0)
+                own = pa.array(pairs[:, 0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(pairs[:, 1])], names=["k1", "k2", "h"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long")
+
+
+EDGES = "h long, l binary, r binary, n long, k1 array<long>, k2 array<long>, p array<long>"
+
+
+def edges(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Suffix tuples whose gram is in ``shared(h)``, a written table: the bytes
+    before (``l``) and from (``r``) the picked place that their windows cover,
+    equal ones of a batch together with the ``k1, k2, p`` of their places."""
+    spark = texts.sparkSession
+    if shared.count() * 16 <= BROADCAST_BYTES:
+        known = spark.sparkContext.broadcast(np.sort(shared.toPandas()["h"].to_numpy(np.int64)))
+        texts = texts.select("k1", "k2", "text")
+    else:
+        # Beyond that each text gets the list of its own shared grams.
+        known = None
+        lists = own_grams(texts).join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
+        texts = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"])
+
+    def sent(held: dict) -> pa.RecordBatch:
+        keys, places = list(held), list(held.values())
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+        columns.append(pa.array([len(x) for x in places], pa.int64()))
+        columns += [pa.array([[x[i] for x in own] for own in places], pa.list_(pa.int64())) for i in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "l", "r", "n", "k1", "k2", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2))
+            some = known.value if known is not None else np.unique(batch.column(3).flatten().to_numpy())
+            held: dict[tuple, list] = {}
+            size = 0
+            for row, h, pos in tuples(raw):
+                there = np.flatnonzero(some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h) if len(some) else []
+                for k, gram, place in zip(row[there].tolist(), h[there].tolist(), pos[there].tolist()):
+                    first = place >> 16
+                    p, last = first + (place >> 8 & 255), first + (place & 255)
+                    held.setdefault((gram, raw[k][first:p], raw[k][p : last + WINDOW]), []).append((k1[k], k2[k], p))
+                size += len(there)
+                if size > HELD_PLACES:
+                    yield sent(held)
+                    held, size = {}, 0
+            if held:
+                yield sent(held)
+
+    return texts.mapInArrow(run, EDGES)
 
 
 # -- induced sorting -------------------------------------------------------
@@ -204,14 +263,15 @@ def induce(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np
 
 
 def sort_groups(rows: DataFrame) -> DataFrame:
-    """Ranges ``d, k, start, stop`` that repeat, from
-    ``rows(h, d, k, p, c, l, r)`` with whole groups of at most ``GROUP``."""
+    """``h, l, r, lo, hi`` for the tuples of ``rows(h, l, r, c)`` with windows
+    that repeat: the smallest and largest offset of one before the sampled
+    place.  ``c`` says how often a tuple occurs; groups ``h`` are whole."""
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         _, group = np.unique(np.array([x[0] for x in held]), return_inverse=True)
-        least, most = induce(group.astype(np.int64), [x[5] for x in held], [x[6] for x in held])
-        out = [(x[1], x[2], x[3] - hi, x[3] - lo + WINDOW) for x, lo, hi in zip(held, least.tolist(), most.tolist()) if lo >= 0 and x[4] == 1]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["d", "k", "start", "stop"])
+        least, most = induce(group.astype(np.int64), [x[1] for x in held], [x[2] for x in held])
+        out = [(h, l, r, WINDOW - len(r), len(l)) if c > 1 else (h, l, r, lo, hi) for (h, l, r, c), lo, hi in zip(held, least.tolist(), most.tolist()) if c > 1 or lo >= 0]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["h", "l", "r", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -228,38 +288,28 @@ def sort_groups(rows: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    sorted_ = rows.select("h", "d", "k", "p", "c", "l", "r").repartition("h").sortWithinPartitions("h", "r")
-    return sorted_.mapInArrow(run, "d long, k long, start long, stop long")
-
-
-# -- levels ----------------------------------------------------------------
-def _stand_ins(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Duplicate neighbourhoods ``h, n``; and, of grams that are not settled by
-    them, one row per neighbourhood with ``c`` (1: unsettled) and ``g``, the
-    gram's number of neighbourhoods."""
-    counted = rows.groupBy("h", "n").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("at"))
-    grams = counted.groupBy("h").agg(F.count("*").alias("g"), F.min("c").alias("least")).where("g > 1 and least = 1").select("h", "g")
-    return counted.where("c > 1").select("h", "n"), counted.join(grams, "h").select("h", "n", F.least("c", F.lit(2)).alias("c"), "g", "at.*")
-
-
-def _with_bytes(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``h, n, d, k, p, c, g, l, r``: rows with the bytes of their windows
-    before and from the sampled place ``p``."""
-    lists = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("h", "n", "pos", "c", "g")).alias("w"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "n", "d", "k", "p", "c", "g", "l", "r"]
-        types = [pa.int64()] * 7 + [pa.binary()] * 2
-        for batch in batches:
-            rows = []
-            for d, k, text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2)), batch.column(3).to_pylist()):
-                for w in wants:
-                    first = w["pos"] >> 16
-                    p, last = first + (w["pos"] >> 8 & 255), first + (w["pos"] & 255)
-                    rows.append((w["h"], w["n"], d, k, p, w["c"], w["g"], text[first:p], text[p : last + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-    return keyed.join(lists, ["d", "k"]).select("d", "k", "text", "w").mapInArrow(run, "h long, n long, d long, k long, p long, c long, g long, l binary, r binary")
+    sorted_ = rows.select("h", "l", "r", "c").repartition("h").sortWithinPartitions("h", "r")
+    return sorted_.mapInArrow(run, "h long, l binary, r binary, lo int, hi int")
+
+
+def repeats(cells: DataFrame, level: int = 0) -> DataFrame:
+    """``h, l, r, lo, hi`` as in ``sort_groups`` for groups of any size, from
+    different ``cells(h, l, r, c)``, a written table."""
+    groups = cells.groupBy("h").agg(F.count("*").alias("g"), F.max("c").alias("most")).where("g > 1 or most > 1")
+    sized = cells.join(groups, "h")
+    if level == len(SPLITS):
+        return sort_groups(sized)
+    found = sort_groups(sized.where(F.col("g") <= GROUP))
+    crowded = sized.where(F.col("g") > GROUP)
+    if crowded.isEmpty():
+        return found
+    parts = materialize(split_rows(crowded, SPLITS[level]), "ranges")
+    below = materialize(parts.groupBy("h2", "l2", "r2").agg(F.sum("c").alias("c")).select(F.col("h2").alias("h"), F.col("l2").alias("l"), F.col("r2").alias("r"), "c"), "cells")
+    settled = repeats(below, level + 1).select(F.col("h").alias("h2"), F.col("l").alias("l2"), F.col("r").alias("r2"), "lo", "hi")
+    # Windows are longer than any two offsets are apart: what a tuple's repeated
+    # windows cover is one run from the first to the last.
+    back = parts.join(settled, ["h2", "l2", "r2"]).groupBy("h", "l", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.unionByName(back)
 
 
 def _hash(*parts: bytes) -> int:
@@ -267,52 +317,59 @@ def _hash(*parts: bytes) -> int:
 
 
 def split_rows(rows: DataFrame, size: int) -> DataFrame:
-    """Ranges of ``size`` offsets of each row, keyed by the bytes that all
-    windows of the range share: the same columns again, without counts."""
+    """Ranges of ``size`` offsets of each of ``rows(h, l, r, c)``, keyed by the
+    bytes that all windows of the range share: ``h2, l2, r2`` beside the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "n", "d", "k", "p", "l", "r"]
-        types = [pa.int64()] * 5 + [pa.binary()] * 2
+        names = ["h", "l", "r", "c", "h2", "l2", "r2"]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64()] + [pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             out = []
-            for h, d, k, p, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, left, right, c in zip(*(x.to_pylist() for x in batch.columns)):
                 lo, hi = WINDOW - len(right), len(left)
                 for block in range(lo // size, hi // size + 1):
                     b0, b1 = block * size, block * size + size - 1
                     core = left[hi - b0 :] + right[: WINDOW - b1] if b1 < WINDOW else b""
-                    l, r = left[hi - min(hi, b1) :], right[: WINDOW - max(lo, b0)]
                     key = f"{size},{block}".encode()
-                    out.append((_hash(key, h.to_bytes(8, "little", signed=True), core), _hash(key, f",{len(l)},".encode(), l, r), d, k, p, l, r))
+                    out.append((h, left, right, c, _hash(key, h.to_bytes(8, "little", signed=True), core), left[hi - min(hi, b1) :], right[: WINDOW - max(lo, b0)]))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
-    return rows.select("h", "d", "k", "p", "l", "r").mapInArrow(run, "h long, n long, d long, k long, p long, l binary, r binary")
-
-
-def repeated_ranges(keyed: DataFrame) -> DataFrame:
-    """``d, k, start, stop``: byte ranges that repeated windows cover, for
-    documents ``keyed(d, k, text)``; ranges may overlap."""
-    picked = sample(keyed)
-    shared = picked.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    tuples_ = materialize(picked.join(shared, "h", "left_semi"), "suffixes")
-    twice, wanted = _stand_ins(tuples_, ["d", "k", "pos"])
-    first = F.shiftright("pos", 16)
-    last = first + F.col("pos").bitwiseAND(F.lit(255))
-    found = [tuples_.join(twice, ["h", "n"], "left_semi").select("d", "k", first.alias("start"), (last + WINDOW).alias("stop"))]
-    rows = materialize(_with_bytes(wanted, keyed), "edges")
-    for size in SPLITS:
-        found.append(sort_groups(rows.where(F.col("g") <= GROUP)))
-        crowded = rows.where(F.col("g") > GROUP)
-        if crowded.isEmpty():
-            break
-        parts = materialize(split_rows(crowded, size), "ranges")
-        twice, wanted = _stand_ins(parts, ["d", "k", "p", "l", "r"])
-        covered = parts.join(twice, ["h", "n"], "left_semi")
-        found.append(covered.select("d", "k", (F.col("p") - F.octet_length("l")).alias("start"), (F.col("p") + F.octet_length("r")).alias("stop")))
-        rows = materialize(wanted, "edges")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    return rows.select("h", "l", "r", "c").mapInArrow(run, "h long, l binary, r binary, c long, h2 long, l2 binary, r2 binary")
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """``k1, k2, ranges``: for each different text (by its hashes) of
+    ``docs(doc_id, text)`` the byte ranges that repeated windows cover; ranges
+    may overlap.  A written table."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), _text().alias("text"), *[k.alias(f"k{i + 1}") for i, k in enumerate(_keys())])
+    texts = texts.where(F.octet_length("text") >= WINDOW)
+    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("d").alias("rep"), F.max(F.octet_length("text")).alias("size")).where("c > 1").drop("c")
+    copies = materialize(copies, "copies")
+    if copies.count() * 48 <= BROADCAST_BYTES:
+        # One of each group of equal texts meets the others.
+        texts = texts.join(F.broadcast(copies.select("k1", "k2", "rep")), ["k1", "k2"], "left").where("rep is null or rep = d")
+    with small_batches(docs.sparkSession):
+        shared = materialize(gram_counts(texts).where("c > 1").select("h"), "grams")
+        rows = materialize(edges(texts, shared), "edges")
+        cells = materialize(rows.groupBy("h", "l", "r").agg(F.sum("n").alias("c")), "cells")
+        found = materialize(repeats(cells), "repeats")
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held: dict[tuple, set] = {}
+                for k1, k2, p, lo, hi in zip(*(x.to_pylist() for x in batch.columns)):
+                    for a, b, at in zip(k1, k2, p):
+                        held.setdefault((a, b), set()).add((at - hi, at - lo + WINDOW))
+                cut = [[{"start": a, "stop": b} for a, b in spans(list(x))] for x in held.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array(cut, _RANGES)], names=["k1", "k2", "ranges"])
+
+        # The bytes are part of the key: no hash alone says that texts are equal.
+        met = rows.join(found, ["h", "l", "r"]).select("k1", "k2", "p", "lo", "hi").mapInArrow(placed, "k1 long, k2 long, ranges array<struct<start:long,stop:long>>")
+        whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("ranges"))
+        return materialize(met.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "found")
+
+
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -326,21 +383,25 @@ def spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key: ``d``, the doc_id, and ``k``, a hash of the text; rows
-    that agree in both are equal texts and get equal results."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("k", F.xxhash64(text)).withColumn("text", text)
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _keys():
+    """128 bits that name a text."""
+    return F.xxhash64(_text()), F.xxhash64(F.lit(1), _text())
 
 
-def _marked(keyed: DataFrame) -> DataFrame:
-    lists = repeated_ranges(keyed.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return keyed.join(lists, ["d", "k"], "left")
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the ranges of each text, and that column's name."""
+    k1, k2, ranges = unused(docs, "_k1", "_k2", "_ranges")
+    found = small_side(repeated_ranges(docs), 256).toDF(k1, k2, ranges)
+    keys = dict(zip((k1, k2), _keys()))
+    return docs.withColumns(keys).join(found, [k1, k2], "left").drop(k1, k2), ranges
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document."""
-    keyed = _keyed(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +411,8 @@ def digest(docs: DataFrame) -> DataFrame:
                 rows.append((len(text), sum(b - a for a, b in cut), len(cut), hashlib.sha256(_without(text, cut)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], pa.string() if i == 3 else pa.int64()) for i in range(4)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _marked(keyed).select(F.col("doc_id").cast("long"), "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, ranges = _marked(docs.select("doc_id", "text"))
+    return marked.select(F.col("doc_id").cast("long"), _text(), ranges).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -361,21 +423,20 @@ def _without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes taken out of ``text``; a character that is
     cut in two goes as a whole.  A null text stays null."""
-    names = docs.columns
-    keyed = _keyed(docs.select("doc_id", "text").distinct())
+    marked, ranges = _marked(docs)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_without(t, spans([(r["start"], r["stop"]) for r in ranges])).decode("utf-8", "ignore") for t, ranges in zip(_bytes_of(batch.column(2)), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["d", "k", "_kept"])
-
-    everything = _keyed(docs.select("doc_id", "text"))
-    lists = repeated_ranges(everything.select("d", "k", "text")).groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    changed = keyed.dropDuplicates(["d", "k"]).join(lists, ["d", "k"]).select("d", "k", "text", "ranges").mapInArrow(run, "d long, k long, _kept string").select(F.col("d").alias("_d"), F.col("k").alias("_k"), "_kept")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mine = docs.withColumn("_d2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("_k2", F.xxhash64(text))
-    joined = mine.join(changed, (F.col("_d2") == F.col("_d")) & (F.col("_k2") == F.col("_k")), "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*[F.col(f"`{c}`") for c in names])
+            text = batch.column(at)
+            new = text.to_pylist()
+            for k in np.flatnonzero(batch.column(batch.num_columns - 1).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                cut = spans([(r["start"], r["stop"]) for r in batch.column(batch.num_columns - 1)[k].as_py()])
+                new[k] = _without(new[k].encode(), cut).decode("utf-8", "ignore")
+            columns = [pa.array(new, text.type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return marked.mapInArrow(run, docs.schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -57,13 +57,13 @@ def test_long_texts_in_segments(monkeypatch):
     text = bytes(rng.choice(b"abcd") for _ in range(5000))
     texts = [text, text[100:350], b"", text[:200], text[4700:]]
     rows = [x for part in S.tuples(texts) for x in zip(*(p.tolist() for p in part))]
-    windows = sorted((r[0], w) for r in rows for w in range(r[3] >> 16, (r[3] >> 16) + (r[3] & 255) + 1))
+    windows = sorted((r[0], w) for r in rows for w in range(r[2] >> 16, (r[2] >> 16) + (r[2] & 255) + 1))
     assert windows == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 199)]
-    for row, h, n, pos in rows:
+    for row, h, pos in rows:
         pick = (pos >> 16) + (pos >> 8 & 255)
         assert 0 <= pick - (pos >> 16) <= 168
     grams = {}
-    for row, h, n, pos in rows:
+    for row, h, pos in rows:
         pick = (pos >> 16) + (pos >> 8 & 255)
         assert grams.setdefault(h, texts[row][pick : pick + S.GRAM]) == texts[row][pick : pick + S.GRAM]
 
@@ -98,3 +98,33 @@ def test_dedup_keeps_columns(spark):
     got = sorted(((r.doc_id or 0, r.text, r.k) for r in out.collect()), key=str)
     assert got == sorted([(1, "Eins äende", 7), (2, "", 7), (3, None, 7), (0, "kurz", None), (2, "", 8)], key=str)
     assert S.dedup(docs.limit(0)).collect() == [] and S.digest(docs.limit(0)).collect() == []
+
+
+def test_repeated_rows_have_their_ranges_once(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text, part = word(600), word(250)
+    rows = [(7, text)] * 50 + [(8, part + text[100:400]), (8, part + text[100:400]), (9, "x" + part + "y" + word(300)), (None, text), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = S.repeated_ranges(docs).collect()
+    assert len(found) == 3 and all(len(r.ranges) <= 12 for r in found)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(docs).collect()), key=str)
+    assert got == sorted(((r[0], *w) for r, w in zip(rows, slow([r[1] for r in rows]))), key=str)
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 26])
+def test_same_beyond_the_broadcast_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(S, "HELD_PLACES", 5)
+    texts = corpus(random.Random(21))
+    rows = [(i, t, "en", 1, "x") for i, t in enumerate(texts)] + [(3, "q" * 260, "en", 1, "x")] * 2
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted((r[0], *w) for r, w in zip(rows, slow([r[1] for r in rows])))
+
+
+def test_dedup_with_clashing_columns(spark):
+    passage = "abcdefghij" * 30
+    docs = spark.createDataFrame([(1, "1" + passage, 1, "a", None), (2, passage + "2", 2, "b", 3.5)], "_k1 long, text string, doc_id long, _K2 string, _ranges double")
+    out = S.dedup(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert sorted(out.collect()) == [(1, "1", 1, "a", None), (2, "2", 2, "b", 3.5)]
