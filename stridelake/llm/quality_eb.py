@@ -4,7 +4,8 @@ A logistic classifier on the shape of a document gives its evidence.  Grouped
 aggregates of that evidence give each host and each path within it a posterior
 quality rate: the global rate shrinks hosts, a host's rate shrinks its paths,
 with strengths estimated from the spread between groups (method of moments), so
-sparse sites stay near the prior.  A document's score joins its own evidence
+sparse sites stay near the prior.  The table at hand has no addresses: its host
+is ``source`` and its path ``lang``; both are parameters.  A document's score joins its own evidence
 with the posterior of its path, from which its own share is left out.
 
 Edge cases: null text counts as empty; null host or path is a group of its own;
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import materialize, small_batches, small_side, unused
 
-#: Labelled documents the classifier is fitted on, in order of a hash.
+#: Labelled documents the classifier is fitted on at most, in order of a hash.
 MAX_LABELLED = 20_000
 KEEP_AT = 0.5
 CACHE_CHUNKS = 120_000
@@ -115,10 +116,11 @@ class Logistic:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Logistic:
-    """Fit on at most ``MAX_LABELLED`` labelled documents."""
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    """Fit on at most ``MAX_LABELLED`` labels, one document each."""
+    chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(features("text").alias("x"), "y").limit(2 * MAX_LABELLED).collect()
+    # Where rows share a doc_id, one of them stands for the label.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", features("text").alias("x")).groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").collect()
     return Logistic.fit(np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float))
 
 
@@ -151,35 +153,43 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return m, min(max(m * (1 - m) / between - 1, 1.0), 1e5)
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
-    """``docs`` with one struct column ``_eb``: ``p_document,
-    host_posterior, path_posterior, score, kept``."""
+def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", with_text: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` (without ``text`` if so asked) with one more struct column, and
+    its name: ``p_document, host_posterior, path_posterior, score, kept``.
+    Each text is read once for the classifier; rows and evidence are written."""
     model = fit_classifier(docs, labels, label)
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    marked = docs.withColumn("_logit", evidence(model)("text")).withColumn("_host", key(host)).withColumn("_path", key(path))
-    p = _sigmoid(F.col("_logit"))
-    paths = materialize(marked.select("_host", "_path", p.alias("p")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "sites")
-    hosts = paths.groupBy("_host").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    key = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))
+    logit, h, q, site_, eb = unused(docs, "_logit", "_host", "_path", "_site", "_eb")
+    rows = docs.withColumns({logit: evidence(model)("text"), h: key(host), q: key(path)})
+    names = [F.col(f"`{c}`") for c in docs.columns if with_text or c != "text"]
+    with small_batches(docs.sparkSession):
+        marked = materialize(rows.select(*names, logit, h, q), "evidence")
+    p = _sigmoid(F.col(logit))
+    paths = materialize(marked.select(F.col(h).alias("host"), F.col(q).alias("path"), p.alias("p")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "sites")
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsq"])
     overall, host_strength = _strength(hosts)
     _, path_strength = _strength(paths)
-    sites = paths.join(hosts.select("_host", F.col("n").alias("hn"), F.col("s").alias("hs")), "_host").select("_host", "_path", "n", "s", "hn", "hs")
-    site = sites.select("_host", "_path", F.struct("n", "s", "hn", "hs").alias("_site"))
-    joined = marked.join(site, ["_host", "_path"])
-    at_host = (host_strength * overall + F.col("_site.hs") - p) / (host_strength + F.col("_site.hn") - 1)
-    at_path = (path_strength * at_host + F.col("_site.s") - p) / (path_strength + F.col("_site.n") - 1)
+    sites = paths.join(hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs")), "host")
+    site = materialize(sites.select(F.col("host").alias(h), F.col("path").alias(q), F.struct("n", "s", "hn", "hs").alias(site_)), "sites")
+    joined = marked.join(small_side(site, 256), [h, q])
+    of = lambda c: F.col(f"{site_}.{c}")
+    at_host = (host_strength * overall + of("hs") - p) / (host_strength + of("hn") - 1)
+    at_path = (path_strength * at_host + of("s") - p) / (path_strength + of("n") - 1)
     inside = F.least(F.greatest(at_path, F.lit(1e-4)), F.lit(1 - 1e-4))
-    score = _sigmoid(F.log(inside / (1 - inside)) + F.col("_logit") - F.lit(model.base_logit))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(p.alias("p_document"), at_host.alias("host_posterior"), at_path.alias("path_posterior"), score.alias("score"), (score >= KEEP_AT).alias("kept")).alias("_eb"))
+    score = _sigmoid(F.log(inside / (1 - inside)) + F.col(logit) - F.lit(model.base_logit))
+    return joined.select(*names, F.struct(p.alias("p_document"), at_host.alias("host_posterior"), at_path.alias("path_posterior"), score.alias("score"), (score >= KEEP_AT - 1e-9).alias("kept")).alias(eb)), eb
 
 
 def classify(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
     """``doc_id, p_document, host_posterior, path_posterior, score, kept``."""
-    return scored(docs.select("doc_id", "text", *{names.get("host", "source"), names.get("path", "lang")}), labels, **names).select("doc_id", "_eb.*")
+    rows, eb = scored(docs.select("doc_id", "text", *{names.get("host", "source"), names.get("path", "lang")}), labels, with_text=False, **names)
+    return rows.select("doc_id", f"{eb}.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` the classifier keeps, with their columns."""
-    return scored(docs, labels, **names).where("_eb.kept").drop("_eb")
+    rows, eb = scored(docs, labels, **names)
+    return rows.where(F.col(f"{eb}.kept")).drop(eb)
 
 
 def op9_quality_eb(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def test_posteriors_follow_the_formula(spark):
         mh = (kh * p.mean() + p[h].sum() - p[k]) / (kh + len(h) - 1)
         assert np.isclose(by[i].host_posterior, mh)
         assert np.isclose(by[i].path_posterior, (kp * mh + p[q].sum() - p[k]) / (kp + len(q) - 1))
+    model = Q.fit_classifier(docs, labels)
+    featurize = Q.Featurizer()
+    for k, r in enumerate(rows):
+        logit = float(model.logit(featurize(r[1])))
+        site = min(max(by[r[0]].path_posterior, 1e-4), 1 - 1e-4)
+        score = 1 / (1 + np.exp(-(np.log(site / (1 - site)) + logit - model.base_logit)))
+        assert np.isclose(by[r[0]].p_document, 1 / (1 + np.exp(-logit)))
+        assert np.isclose(by[r[0]].score, score) and by[r[0]].kept == (by[r[0]].score >= 0.5)
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
 
@@ -65,3 +73,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.kept == bool(r.quality) for r in rows) / len(rows) > 0.98
     good = [r.kept for r in rows if r.quality]
     assert sum(good) / len(good) > 0.99
+
+
+def test_features_by_hand():
+    words = "A b!! CC b!! CC b!! 12 x$".split()
+    triples = list(zip(words, words[1:], words[2:]))
+    want = [np.log(8), 1 / 8, 2 / 8, 3 / 8, sum(map(len, words)) / 8, 2 / sum(map(len, words)), 5 / 8, 0.0, len(set(triples)) / len(triples)]
+    assert np.allclose(Q.Featurizer()(" ".join(words)), want)
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(i % 40, "plain words that run on " * 5 if i % 2 else "x$$$ y### " * 9, "en", f"s{i % 3}", "mine", 1, 2.0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _host string, _eb int, _logit double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for k, r in enumerate(rows) if k % 2) and {r._host for r in got} == {"mine"}
