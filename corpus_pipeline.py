@@ -1,7 +1,16 @@
 """Corpus pipeline: five stages, each written as Parquet and read again.
 
 Every stage takes all rows its predecessor kept, and its decisions take effect
-in what it returns.  All but the last return the columns of ``documents``.
+in what it returns.  All but the last return the columns of ``documents``; the
+last returns pieces with their token ids, sequence and offset.
+
+Null and blank texts are judged like other documents; those that are kept are
+near copies of each other, so that one stays, and it is packed as its end mark.
+Rows with null doc_id are kept by the near-copy stage; null source or lang is a
+site of its own.  Repeated rows of one doc_id leave one.  Of equal texts the
+smallest doc_id stays.  Very long texts are treated whole and cut into pieces of
+4096 ids.  An empty table gives an empty result; without labels of both kinds
+the quality stage goes by the labelled rate alone (none: everything stays).
 """
 
 from __future__ import annotations
@@ -25,14 +34,8 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
-#: Rows of an Arrow batch: whole texts are long, and a batch is held several
-#: times over between Spark and its Python workers.
-BATCH_ROWS = "1000"
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return quality_eb.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -52,8 +55,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces packed into training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token pieces, with their ids and places in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
