@@ -1,15 +1,20 @@
 """PII surrogates: keyed, type-consistent replacements, in DataFrame functions only.
 
-Detected entities are normalised (coreferent spellings meet in one form), the
-distinct ones get a surrogate from a keyed digest: same type, same letter and
-digit classes, for names the gender their title tells and their script.  A
+One regular-expression pass cuts each text into pieces and entities; a second
+one, only over texts with a titled name, finds that name where it stands without
+its title.  Entities are normalised (coreferent spellings meet in one form), a
+person's name is a given and a family name, and the distinct forms get a
+surrogate from a keyed digest: same type, same letter and digit classes, for
+given names the gender their title tells, for all names their script.  So
+"Mrs. Anna Smith", "Mrs. Smith", "Anna Smith" and "Smith" stay one person.  A
 collision check over all surrogates gives what collides, or equals a detected
-entity, further attempts until all differ.  Each text is then rebuilt from the
-pieces between its entities, every mention in the format it was written in.
+form, further attempts until all differ; later attempts are longer.  Each text
+is then put together again, every mention in the format it was written in.
 
 Edge cases: null text stays null; a text without an entity stays as it is;
 equal entities get equal surrogates wherever they occur; repeated rows stay
-repeated; an empty table gives an empty result; extra columns are kept.
+repeated; an empty table gives an empty result; extra columns are kept whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import materialize, small_side, unused
 
 #: The default key only serves tests; real runs pass their own secret.
 KEY = "stridelake"
+#: Attempts in an entity's own format; later ones grow longer.
 ROUNDS = 24
+MARK = "\x01"
 
 # Titles that announce a name, with the gender they tell.
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"]
@@ -31,7 +38,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = "[A-Za-z0-9+/_=.-]"
 PATTERNS = {
-    "secret": rf"(?<!{_SECRET})(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?){_SECRET}{{8,256}}+",
+    "secret": rf"(?<![A-Za-z0-9+/_.-])(?<=(?i:token|secret|password|passwd|api.?key|access.?key)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?){_SECRET}{{8,}}+",
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+@[A-Za-z0-9-]{{1,63}}+(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -79,7 +86,7 @@ def normal(entity: str, type_: str) -> str:
     """SQL: one form for all spellings of an entity."""
     return f"""case {type_} when 'email' then lower({entity}) when 'iban' then replace({entity}, ' ', '')
       when 'phone' then regexp_replace({entity}, '[^0-9]', '') when 'card' then regexp_replace({entity}, '[^0-9]', '')
-      when 'name' then regexp_replace({entity}, '[. ]+', ' ') else {entity} end"""
+      else {entity} end"""
 
 
 def surrogate(key: str) -> str:
@@ -92,10 +99,10 @@ def surrogate(key: str) -> str:
         when c rlike '^[a-z]$' then substr('abcdefghijklmnopqrstuvwxyz', {byte('i')} % 26 + 1, 1)
         when c rlike '^[A-Z]$' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {byte('i')} % 26 + 1, 1) else c end), '')"""
     script = "case when norm rlike '\\\\p{IsCyrillic}' then 'cyrillic' when norm rlike '\\\\p{IsGreek}' then 'greek' else 'latin' end"
-    female = f"norm rlike {_q('^(?:' + '|'.join(TITLES_F) + ') ')}"
-    part = lambda at, script_, end: f"initcap(concat({', '.join(f'{_list(SYLLABLES[script_])}[{byte(at + k)} % 32]' for k in range(3))}, {end}))"
-    full = lambda script_: f"concat_ws(' ', split(norm, ' ')[0], {part(0, script_, f'if({female}, {_q(ENDINGS[script_][0])}, {_q(ENDINGS[script_][1])})')}, if(size(split(norm, '[ -]')) > 2, {part(8, script_, _q(''))}, null))"
-    name = "case " + " ".join(f"when {script} = '{n}' then {full(n)}" for n in SYLLABLES) + " end"
+    # Three syllables, more with each attempt: no number of names uses them up.
+    syllables = lambda script_: f"array_join(transform(sequence(0, 2 + least(attempt, 60)), k -> {_list(SYLLABLES[script_])}[{byte('k')} % 32]), '')"
+    ending = lambda script_: f"case type when 'given_f' then {_q(ENDINGS[script_][0])} when 'given_m' then {_q(ENDINGS[script_][1])} else '' end"
+    name = "case " + " ".join(f"when {script} = '{n}' then initcap(concat({syllables(n)}, {ending(n)}))" for n in SYLLABLES) + " end"
     body = f"concat(substr(norm, 1, 1), {masked.format('substr(norm, 2, char_length(norm) - 2)')})"
     card = f"if(luhn_check(norm), filter(transform(sequence(0, 9), d -> concat({body}, d)), x -> luhn_check(x))[0], concat({body}, {byte(60)} % 10))"
     spread = f"case when char_length(norm) > 10 then concat(substr(norm, 1, char_length(norm) - 10), cast(2 + {byte(20)} % 8 as string), substr({masked.format('norm')}, char_length(norm) - 8)) else {masked.format('norm')} end"
@@ -103,17 +110,17 @@ def surrogate(key: str) -> str:
     local = "concat(regexp_replace(split(norm, '@')[0], '[^a-z0-9._-]', ''), substr(s, 101, 3))"
     email = f"concat({masked.format(local)}, '@', substr(s, 111, 6), '.example.', {_list(['com', 'org', 'net'])}[{byte(50)} % 3])"
     iban = f"concat(substr(norm, 1, 2), {masked.format('substr(norm, 3)')})"
-    return f"transform(array({stream}), s -> case type when 'name' then {name} when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {spread} when 'iban' then {iban} else {masked.format('norm')} end)[0]"
+    longer = f"if(attempt < {ROUNDS}, '', concat('-', substr(s, 201, 4 + least(attempt - {ROUNDS}, 60))))"
+    return f"transform(array({stream}), s -> case when type in ('given_f', 'given_m', 'family') then {name} else concat(case type when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {spread} when 'iban' then {iban} else {masked.format('norm')} end, {longer}) end)[0]"
 
 
 def in_format(entity: str, type_: str, norm: str) -> str:
     """SQL: the surrogate ``norm`` written as ``entity`` is."""
     pick = "[^0-9A-Z]"
-    filled = f"array_join(transform(split({entity}, ''), (c, i) -> if(c rlike '^[0-9A-Z]$', substr({norm}, char_length(regexp_replace(substr({entity}, 1, i + 1), '{pick}', '')), 1), c)), '')"
-    title = f"regexp_extract({entity}, '^[^. ]+[.]? ', 0)"
+    inside = lambda end: f"char_length(regexp_replace({end}, '{pick}', ''))"
+    filled = f"concat(array_join(transform(split({entity}, ''), (c, i) -> if(c rlike '^[0-9A-Z]$', substr({norm}, {inside(f'substr({entity}, 1, i + 1)')}, 1), c)), ''), substr({norm}, {inside(entity)} + 1))"
     return f"""case {type_} when 'phone' then {filled} when 'card' then {filled} when 'iban' then {filled}
-      when 'email' then if({entity} = upper({entity}), upper({norm}), {norm})
-      when 'name' then concat({title}, substr({norm}, instr({norm}, ' ') + 1)) else {norm} end"""
+      when 'email' then if({entity} = upper({entity}), upper({norm}), {norm}) else {norm} end"""
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -129,37 +136,77 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = materialize(entities.select("type", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
     taken = entities.select("type", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     current = entities.withColumn("surrogate", made)
-    for _ in range(ROUNDS):
+    while True:
         order = Window.partitionBy("type", "surrogate").orderBy(F.desc("attempt"), "norm")
         ranked = current.withColumn("place", F.row_number().over(order)).join(taken, ["type", "surrogate"], "left")
         current = materialize(ranked.select("type", "norm", "attempt", "surrogate", ((F.col("place") > 1) | F.col("real").isNotNull()).alias("again")), "surrogates")
         if current.where("again").isEmpty():
             return current.select("type", "norm", "surrogate")
         current = current.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).withColumn("surrogate", F.when(F.col("again"), made).otherwise(F.col("surrogate"))).drop("again")
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} attempts")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``; all columns are kept."""
-    return _replace(docs, key).drop("_entities")
+_TITLE = rf"^(?:{'|'.join(TITLES_F + TITLES_M)})\.? "
+_FEMALE = rf"^(?:{'|'.join(TITLES_F)})\.? "
+
+
+def cut(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """``docs``, written, with three more columns and their names: a row number;
+    the text's parts, pieces and entities in turn; and ``form, gender`` of the
+    names in it.  Where there are parts ``text`` is null."""
+    row, parts, names, mark = unused(docs, "_row", "_parts", "_names", "_mark")
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    split = lambda text, pattern: f"split(regexp_replace({text}, {pattern}, concat({mark}, '$0', {mark})), {mark}, -1)"
+    forms = f"""transform(array(struct(regexp_replace(e, {_q(_TITLE)}, '') as form, if(e rlike {_q(_FEMALE)}, 'f', 'm') as gender)), n ->
+        if(instr(n.form, ' ') > 0, array(n, struct(substring_index(n.form, ' ', -1) as form, n.gender as gender)), array(n)))[0]"""
+    # A text that holds the mark itself gets one it cannot hold.
+    rows = docs.withColumn(mark, F.expr(f"if(contains(text, {_q(MARK)}), concat({_q(MARK)}, substr(sha2(text, 256), 1, 32)), {_q(MARK)})"))
+    rows = rows.select(*own, "text", mark, F.expr(f"if(text rlike {_q(HINT)}, {split('text', _q(ANY))}, null)").alias(parts))
+    rows = rows.select("*", F.expr(f"if(size({parts}) > 1, array_distinct(flatten(transform(filter({parts}, (x, i) -> i % 2 = 1 and x rlike {_q(_TITLE)}), e -> {forms}))), null)").alias(names))
+    bare = f"concat('(?<!\\\\p{{L}})(?:', array_join(transform(array_sort(transform({names}, n -> struct(-char_length(n.form) as k, n.form as form))), n -> n.form), '|'), ')(?!\\\\p{{L}})')"
+    rows = rows.select("*", F.expr(f"if(size({names}) > 0, {bare}, null)").alias(mark + "b"))
+    again = f"flatten(transform({parts}, (x, i) -> if(i % 2 = 1, array(x), {split('x', mark + 'b')})))"
+    rows = rows.select(*own, "text", F.expr(f"if({mark}b is not null, {again}, {parts})").alias(parts), names)
+    some = F.coalesce(F.size(parts) > 1, F.lit(False))
+    rows = rows.select(*own, F.when(~some, F.col("text")).alias("text"), F.when(some, F.col(parts)).alias(parts), F.when(some, F.col(names)).alias(names), F.monotonically_increasing_id().alias(row))
+    return materialize(rows, "parts"), row, parts, names
 
 
-def _replace(docs: DataFrame, key: str) -> DataFrame:
-    found = F.expr(f"if(text rlike {_q(HINT)}, regexp_extract_all(text, {_q(ANY)}, 0), array())")
-    marked = docs.withColumn("_entities", found)
-    private = marked.where(F.size("_entities") > 0).withColumn("_text", F.xxhash64("text"))
-    # Equal texts need their mentions once.  A hash that two texts share only
-    # widens the lookup table of both, since a mention's surrogate is global.
-    mentions = materialize(private.select("_text", F.explode(F.array_distinct("_entities")).alias("entity")).distinct().withColumn("type", F.expr(kind("entity"))).withColumn("norm", F.expr(normal("entity", "type"))), "mentions")
-    made = assign(mentions, key)
-    written = mentions.join(made, ["type", "norm"]).select("_text", F.struct("entity", F.expr(in_format("entity", "type", "surrogate")).alias("new")).alias("e"))
-    lookup = written.groupBy("_text").agg(F.map_from_entries(F.collect_list("e")).alias("_new"))
-    rebuilt = F.expr(f"array_join(flatten(zip_with(split(text, {_q(ANY)}, -1), _entities, (p, e) -> if(e is null, array(p), array(p, _new[e])))), '')")
-    names = [F.col(f"`{c}`") for c in marked.columns]
-    changed = private.join(lookup, "_text").withColumn("text", rebuilt).select(*names)
-    return marked.where(F.coalesce(F.size("_entities") <= 0, F.lit(True))).select(*names).unionByName(changed)
+def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text``; all columns are kept."""
+    rows, parts = _replace(docs, key)
+    return rows.drop(parts)
+
+
+def _replace(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``docs`` with surrogates and a column, whose name it gives, that holds
+    the parts its text had been cut to."""
+    rows, row, parts, names = cut(docs)
+    private = rows.where(F.col(parts).isNotNull())
+    mentions = private.select(F.col(row).alias("row"), F.col(names).alias("names"), F.explode(F.expr(f"array_distinct(filter({parts}, (x, i) -> i % 2 = 1))")).alias("entity"))
+    mentions = mentions.withColumn("bare", F.expr("get(filter(names, n -> n.form = entity), 0).gender"))
+    mentions = mentions.select("row", "entity", F.expr(f"if(bare is not null, 'bare', {kind('entity')})").alias("type"), "bare")
+    mentions = mentions.select("row", "entity", "type", F.expr(f"case type when 'bare' then bare when 'name' then if(entity rlike {_q(_FEMALE)}, 'f', 'm') else '' end").alias("gender"))
+    entities = materialize(mentions.select("entity", "type", "gender").distinct(), "mentions")
+    # A name is a given and a family name; every other entity is one form.
+    called = f"regexp_replace(entity, {_q(_TITLE)}, '')"
+    forms = f"""if(type in ('name', 'bare'),
+        if(instr({called}, ' ') > 0, array(struct(0 as at, concat('given_', gender) as kind, substring_index({called}, ' ', 1) as norm), struct(1 as at, 'family' as kind, substring_index({called}, ' ', -1) as norm)), array(struct(1 as at, 'family' as kind, {called} as norm))),
+        array(struct(0 as at, type as kind, {normal('entity', 'type')} as norm)))"""
+    forms = entities.select("entity", "type", "gender", F.explode(F.expr(forms)).alias("f")).select("entity", "type", "gender", "f.at", F.col("f.kind").alias("kind"), F.col("f.norm").alias("norm"))
+    made = assign(forms.select(F.col("kind").alias("type"), "norm"), key).withColumnRenamed("type", "kind")
+    told = forms.join(small_side(made, 128), ["kind", "norm"]).groupBy("entity", "type", "gender").agg(F.max(F.when(F.col("at") == 0, F.col("surrogate"))).alias("s0"), F.max(F.when(F.col("at") == 1, F.col("surrogate"))).alias("s1"))
+    title = "if(type = 'name', regexp_extract(entity, '^[^. ]+[.]? ', 0), '')"
+    new = F.expr(f"if(type in ('name', 'bare'), concat({title}, concat_ws(' ', s0, s1)), {in_format('entity', 'type', 's0')})")
+    told = materialize(told.select("entity", "type", "gender", new.alias("new")), "told")
+    lookup = mentions.join(small_side(told, 192), ["entity", "type", "gender"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("new"))
+    new, of = unused(rows, "_new", "_of")
+    rebuilt = F.expr(f"array_join(transform({parts}, (x, i) -> if(i % 2 = 0, x, {new}[x])), '')")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    changed = private.join(lookup.toDF(of, new), F.col(row) == F.col(of)).withColumn("text", rebuilt).select(*out, parts)
+    return rows.where(F.col(parts).isNull()).select(*out, parts).unionByName(changed), parts
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _replace(docs, KEY).select("doc_id", "text", F.greatest(F.size("_entities"), F.lit(0)).cast("long").alias("n_entities"))
+    rows, parts = _replace(docs, KEY)
+    return rows.select("doc_id", "text", F.expr(f"coalesce((size({parts}) - 1) div 2, 0)").alias("n_entities"))
