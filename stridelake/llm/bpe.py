@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import grouped
+from stridelake.llm.common import grouped, trimmed
 
 #: The pre-tokenizer's pattern (a fixed value of the byte-level format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -196,6 +196,7 @@ def load(path: str) -> PairIndexBpe:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text."""
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         for batch in batches:
@@ -211,6 +212,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids give the empty text."""
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         for batch in batches:
@@ -222,6 +224,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode, and digest both in one pass over the rows."""
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         gc.disable()  # millions of small tuples live in the caches, none in cycles

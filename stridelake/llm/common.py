@@ -3,12 +3,15 @@ intermediate tables, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    # Short row groups: a task holds one in memory while it writes.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +90,29 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
+def trimmed(run):
+    """A task's function over batches that leaves its worker process small: it
+    serves other operators next."""
+
+    @wraps(run)
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(src long, dst long)`` with its component's
     smallest node: columns ``node, component``.

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import materialize, trimmed
 
 LIMIT = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ RANKED_TOGETHER = 4000
 #: Parts of one length whose counts are added up together.
 PARTS_TOGETHER = 1024
 #: Bytes of text encoded together.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 6_000_000
 
 
 class ChunkTokenizer:
@@ -144,6 +144,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fals
     asked for, ``ids``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    @trimmed
     def run(batches):
         tokenizer = load(path)
         for batch in batches:
@@ -294,6 +295,7 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     out = cut.schema.fieldNames()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
+    @trimmed
     def run(batches):
         keys, firsts, sequences, offsets = key.value
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stridelake.llm.common import materialize, small_batches, small_side, unused
+from stridelake.llm.common import materialize, small_batches, small_side, trim, unused
 
 #: Labelled documents the classifier is fitted on at most, in order of a hash.
 MAX_LABELLED = 20_000
@@ -132,6 +132,7 @@ def evidence(model: Logistic):
         own = featurizer()
         x = np.array([own(t if isinstance(t, str) else None) for t in text]).reshape(len(text), len(FEATURES))
         own.forget()
+        trim()
         return pd.Series(model.logit(x))
 
     return logit

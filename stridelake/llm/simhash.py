@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import connected_components, materialize, merge_labels, small_batches, small_side, unused
+from stridelake.llm.common import connected_components, materialize, merge_labels, small_batches, small_side, trimmed, unused
 
 RADIUS = 2
 #: Rows of one bit-sliced block; a fuller bucket is compared chunk by chunk.
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long), one row per input row."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
@@ -134,6 +135,7 @@ def compared(rows: DataFrame, bits: DataFrame | None, radius: int) -> DataFrame:
     def blocks(dealt: DataFrame) -> DataFrame:
         with_bits = dealt.withColumn("bits", F.array("node")) if bits is None else dealt.join(bits, "node")
 
+        @trimmed
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for nodes, own in _blocks(batches):
                 a = near_pairs(own, radius)
@@ -316,6 +318,7 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     Jaccard similarity; ``doc`` and ``h`` (a hash of the text) name the row of
     ``docs`` that a node's shingles are taken from."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(3)]
@@ -328,6 +331,7 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     rows = materialize(rows.select("node", "component", "bits", "text").mapInArrow(run, "node long, g long, bits array<long>, own array<long>, w long"), "wide-sets")
 
     def blocks(dealt: DataFrame) -> DataFrame:
+        @trimmed
         def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for nodes, bits, sets, label in _whole_groups(batches):
                 a = exact_pairs(bits, sets, similarity, radius, label)
@@ -374,6 +378,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     shorter texts than ``words`` have one shingle, all their words."""
     radius = wide_radius(similarity)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, nodes = [], []

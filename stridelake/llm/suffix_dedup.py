@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import BROADCAST_BYTES, materialize, small_batches, small_side, unused
+from stridelake.llm.common import BROADCAST_BYTES, materialize, small_batches, small_side, trimmed, unused
 
 WINDOW = 200
 GRAM = 32
@@ -51,7 +51,7 @@ SPLITS = (64, 16, 4, 1)
 SEGMENT = 1 << 18
 SORT_ROWS = 16_384
 #: Places after which a batch's equal tuples are sent on.
-HELD_PLACES = 200_000
+HELD_PLACES = 40_000
 _MASK = np.uint64((1 << 24) - 1)
 
 
@@ -148,6 +148,7 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``h, c``: how often each picked gram occurs, over ``texts(text)``."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, _ in tuples(_bytes_of(batch.column(0))):
@@ -160,6 +161,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 def own_grams(texts: DataFrame) -> DataFrame:
     """``k1, k2, h``: the grams that each text picks."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, h, _ in tuples(_bytes_of(batch.column(2))):
@@ -194,6 +196,7 @@ def edges(texts: DataFrame, shared: DataFrame) -> DataFrame:
         columns += [pa.array([[x[i] for x in own] for own in places], pa.list_(pa.int64())) for i in range(3)]
         return pa.RecordBatch.from_arrays(columns, names=["h", "l", "r", "n", "k1", "k2", "p"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2))
@@ -273,6 +276,7 @@ def sort_groups(rows: DataFrame) -> DataFrame:
         out = [(h, l, r, WINDOW - len(r), len(l)) if c > 1 else (h, l, r, lo, hi) for (h, l, r, c), lo, hi in zip(held, least.tolist(), most.tolist()) if c > 1 or lo >= 0]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["h", "l", "r", "lo", "hi"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
@@ -320,6 +324,7 @@ def split_rows(rows: DataFrame, size: int) -> DataFrame:
     """Ranges of ``size`` offsets of each of ``rows(h, l, r, c)``, keyed by the
     bytes that all windows of the range share: ``h2, l2, r2`` beside the row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "l", "r", "c", "h2", "l2", "r2"]
         types = [pa.int64(), pa.binary(), pa.binary(), pa.int64()] + [pa.int64(), pa.binary(), pa.binary()]
@@ -354,6 +359,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         cells = materialize(rows.groupBy("h", "l", "r").agg(F.sum("n").alias("c")), "cells")
         found = materialize(repeats(cells), "repeats")
 
+        @trimmed
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 held: dict[tuple, set] = {}
@@ -403,6 +409,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per document."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -426,6 +433,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     marked, ranges = _marked(docs)
     at = docs.columns.index("text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(at)

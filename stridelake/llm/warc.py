@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import fresh_path, materialize
+from stridelake.llm.common import fresh_path, materialize, trimmed
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -88,6 +88,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages(page_id, url, payload binary, refers_to)``; returns the
     committed list ``path, records``."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
@@ -231,6 +232,7 @@ def read_archives(listed: DataFrame, columns: Iterable[str] = tuple(FIELDS)) ->
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], FIELDS[c]) for c in columns], names=columns)
 
+    @trimmed
     def run(batches):
         for one in batches:
             for path, records in zip(*(c.to_pylist() for c in one.columns)):
