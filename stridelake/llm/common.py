@@ -45,13 +45,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def written(df: DataFrame, path: str) -> DataFrame:
     # Short row groups: a task holds one in memory while it writes.
     df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Intermediate tables this driver has written and not deleted.
+_scratch: list[str] = []
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+def scratch_paths() -> list[str]:
+    """Intermediate tables written and not deleted: a caller who has written
+    their operators' results may ``discard`` them."""
+    return list(_scratch)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables written inside are deleted at the end, but for the
+    path that the result is written to: ``with scratch(spark) as result``."""
+    result = fresh_path(spark, "result")
+    before = list(_scratch)
+    try:
+        yield result
+    finally:
+        for path in [x for x in _scratch if x not in before and x != result]:
+            discard(spark, path)
 
 
 #: Bytes of a table up to which it may be broadcast.

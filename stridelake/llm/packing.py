@@ -23,19 +23,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize, trimmed
+from stridelake.llm.common import materialize, small_side, trimmed
 
 LIMIT = 4096
 END_ID = 1
 #: Lengths tried as second member of a three-document pattern, for each first.
 PARTNERS = 24
-#: Pieces of one length ranked by one task.
-RANKED_TOGETHER = 4000
-#: Parts of one length whose counts are added up together.
-PARTS_TOGETHER = 1024
 #: Bytes of text encoded together.
 GROUP_BYTES = 6_000_000
 
@@ -140,21 +137,22 @@ def load(path: str) -> ChunkTokenizer:
 
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, if
-    asked for, ``ids``."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32``, if asked
+    for ``ids``, and which of its task's pieces of that length it is: ``task,
+    nth`` (from 0)."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", task int, nth long"
 
     @trimmed
     def run(batches):
-        tokenizer = load(path)
+        tokenizer, seen = load(path), np.zeros(limit + 1, np.int64)
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(size) // GROUP_BYTES
             for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
                 if len(at):
-                    yield cut(tokenizer, batch.slice(int(at[0]), len(at)))
+                    yield cut(tokenizer, seen, batch.slice(int(at[0]), len(at)))
 
-    def cut(tokenizer, batch):
+    def cut(tokenizer, seen, batch):
         flat, counts = tokenizer.encode_all(batch.column(1))
         # Each text's ids end with the mark.
         flat = np.insert(flat, np.cumsum(counts), END_ID).astype("<u4")
@@ -170,7 +168,13 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = Fals
         columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())]
         if with_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(flat.astype(np.int32))))
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        order = np.argsort(length, kind="stable")
+        run_of, opens, counts = np.unique(length[order], return_index=True, return_counts=True)
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - np.repeat(opens, counts) + np.repeat(seen[run_of], counts)
+        seen[run_of] += counts
+        columns += [pa.array(np.full(len(length), TaskContext.get().partitionId(), np.int32)), pa.array(nth)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "task", "nth"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -268,32 +272,24 @@ def slots(planned: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
 
 
 def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Give each row of ``cut`` (it needs ``doc_id, piece, length``; read more
-    than once) its ``sequence_id`` and ``offset``."""
+    """Give each row of ``cut``, the written table of ``pieces``, its
+    ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
-    counted = cut.groupBy("length").count().collect()
+    counts = materialize(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     hist = np.zeros(limit + 1, np.int64)
-    for row in counted:
-        hist[row["length"]] = row["count"]
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+        hist[row["length"]] = row["n"]
     length, first, sequence, offset = slots(plan(hist, limit))
     key = spark.sparkContext.broadcast((length << 40 | first, first, sequence, offset))
-
-    # A rank among all pieces of one length, counted in parts and parts of
-    # parts: no length, not even one that a third of all rows share, is ordered
-    # by a single task.
-    parts = int(hist.sum() // RANKED_TOGETHER + 1)
-    salt = F.col("_salt") if "_salt" in cut.columns else F.xxhash64("doc_id", "piece")
-    cut = cut.withColumn("_part", F.pmod(salt, F.lit(parts)).cast("int")).drop("_salt")
-    counts = cut.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_part") / PARTS_TOGETHER))
-    groups = counts.groupBy("length", "_group").agg(F.sum("_n").alias("_all"))
-    groups = groups.select("length", "_group", (F.sum("_all").over(Window.partitionBy("length").orderBy("_group")) - F.col("_all")).alias("_ahead"))
-    inside = F.sum("_n").over(Window.partitionBy("length", "_group").orderBy("_part")) - F.col("_n")
-    before = counts.withColumn("_inside", inside).join(groups, ["length", "_group"]).select("length", "_part", (F.col("_ahead") + F.col("_inside")).alias("_before"))
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1)
-    cut = cut.drop("_part")
-    ranked = ranked.join(before, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_rank")).drop("_part", "_before")
-    out = cut.schema.fieldNames()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    # A rank among all pieces of one length: those of the tasks before, and the
+    # task's own before it.  Only counts are ordered, never the pieces of a
+    # length that a third of all rows may share.
+    before = materialize(counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")), "ranks")
+    ranked = cut.join(small_side(before, 32), ["length", "task"]).withColumn("_rank", F.col("before") + F.col("nth"))
+    fields = [f for f in cut.schema if f.name not in ("task", "nth")]
+    out = [f.name for f in fields]
+    ranked = ranked.select(*out, "_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
 
     @trimmed
     def run(batches):
@@ -309,9 +305,7 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """Pieces with their places; the ids themselves are there if asked for."""
-    # The salt is written with the rows, so that equal rows part for good.
-    made = pieces(docs, path, limit, with_ids).withColumn("_salt", F.floor(F.rand() * (1 << 40)))
-    return pack(materialize(made, "pieces"), limit)
+    return pack(materialize(pieces(docs, path, limit, with_ids), "pieces"), limit)
 
 
 def op7_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:

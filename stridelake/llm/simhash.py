@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import connected_components, materialize, merge_labels, small_batches, small_side, trimmed, unused
+from stridelake.llm.common import connected_components, materialize, merge_labels, scratch, small_batches, small_side, trimmed, unused, written
 
 RADIUS = 2
 #: Rows of one bit-sliced block; a fuller bucket is compared chunk by chunk.
@@ -406,9 +406,10 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     without a doc_id stay.  Only ids go through the decision; the texts meet
     its outcome once."""
     gone, of, text = unused(docs, "_gone", "_of", "_text")
-    groups = similar_groups(docs, words, similarity).where("doc_id is not null")
-    verdict = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("copies"))
-    verdict = materialize(verdict.where("first = 0 or copies > 1"), "verdict")
+    with scratch(docs.sparkSession) as result:
+        groups = similar_groups(docs, words, similarity).where("doc_id is not null")
+        verdict = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("copies"))
+        verdict = written(verdict.where("first = 0 or copies > 1"), result)
     names = [F.col(f"`{c}`") for c in docs.columns]
     out = small_side(verdict.select(F.col("doc_id").alias(of), F.lit(True).alias(gone)), 32)
     kept = docs.join(out, F.col("doc_id") == F.col(of), "left").where(F.col(gone).isNull()).select(*names)

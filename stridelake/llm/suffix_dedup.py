@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import BROADCAST_BYTES, materialize, small_batches, small_side, trimmed, unused
+from stridelake.llm.common import BROADCAST_BYTES, materialize, scratch, small_batches, small_side, trimmed, unused, written
 
 WINDOW = 200
 GRAM = 32
@@ -353,7 +353,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     if copies.count() * 48 <= BROADCAST_BYTES:
         # One of each group of equal texts meets the others.
         texts = texts.join(F.broadcast(copies.select("k1", "k2", "rep")), ["k1", "k2"], "left").where("rep is null or rep = d")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as result:
         shared = materialize(gram_counts(texts).where("c > 1").select("h"), "grams")
         rows = materialize(edges(texts, shared), "edges")
         cells = materialize(rows.groupBy("h", "l", "r").agg(F.sum("n").alias("c")), "cells")
@@ -372,7 +372,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         # The bytes are part of the key: no hash alone says that texts are equal.
         met = rows.join(found, ["h", "l", "r"]).select("k1", "k2", "p", "lo", "hi").mapInArrow(placed, "k1 long, k2 long, ranges array<struct<start:long,stop:long>>")
         whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("ranges"))
-        return materialize(met.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "found")
+        return written(met.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), result)
 
 
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

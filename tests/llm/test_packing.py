@@ -42,7 +42,7 @@ def test_chunks_give_the_librarys_ids(text):
 
 
 def test_table(spark, monkeypatch):
-    monkeypatch.setattr(P, "RANKED_TOGETHER", 3)
+    monkeypatch.setattr(P, "GROUP_BYTES", 100)
     lib = Tokenizer.from_file(PATH)
     texts = [None, "", "word " * 9000, "word " * 4095, "word " * 4096] + ["some words here " * (k % 9) for k in range(40)]
     rows = [(i, t, "x", 5) for i, t in enumerate(texts)] + [(7, "again", "x", 5), (7, "again", "x", 5)]

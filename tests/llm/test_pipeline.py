@@ -42,3 +42,17 @@ def test_stages(spark, tmp_path):
     assert "jane.doe@" not in private[302] and "10.20.30.40" not in private[302]
     assert all(private[i] == cut[i] for i in range(120))
     assert {r.doc_id for r in seen["best-fit packing"]} == set(private) and all(r.offset + r.length <= 4096 for r in seen["best-fit packing"])
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "no id " * 9, None, "s", 54), (3, "long words " * 30000, "en", "s", 330000), (4, "same text of a few words here", "en", "s", 29), (5, "same text of a few words here", "en", "s", 29)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, table in (("some", rows), ("none", [])):
+        base = tmp_path / name
+        spark.createDataFrame(table, schema).write.parquet(str(base / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(base / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(base))
+        assert {"doc_id", "piece", "ids", "sequence_id", "offset"} <= set(got.columns)
+        found = got.collect()
+        assert {r.doc_id for r in found} == ({1, None, 3, 4} if table else set())
+        assert all(len(r.ids) == r.length for r in found)
