@@ -164,8 +164,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        hung = star(down, lambda j: j.select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")).select("e.*"))
-        return hung.where("src <> dst").distinct()
+        least = down.groupBy("src").agg(F.min("dst").alias("m"))
+        hung = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        return hung.unionByName(least.withColumnRenamed("m", "dst")).where("src <> dst").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
