@@ -22,11 +22,6 @@ def lenient_double(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit("")).try_cast("double")
 
 
-def missing_to_null(value: Column) -> Column:
-    """NaN, which Spark orders above every number, becomes null."""
-    return F.when(~F.isnan(value), value)
-
-
 def angle(a: tuple[Column, ...], b: tuple[Column, ...], c: tuple[Column, ...]) -> Column:
     """Degrees at ``b`` between ``a`` and ``c``; 0 where a point is missing or a
     side has no length."""

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from stridelake.functions import zero_is_missing
 from stridelake.sources import settled
 
-#: Reference rows up to which an exact search broadcasts them.
+#: Reference rows, and bytes of their vectors, up to which an exact search
+#: broadcasts them.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: Expected reference rows of a block, and parts of the queries that each meet
 #: a copy of it where blocks are not broadcast.
 BLOCK_ROWS = 4096
@@ -38,25 +40,33 @@ def distance(kind: str, a: Column, b: Column, norm_a: Column, norm_b: Column) ->
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
 
 
+def _met(queries: DataFrame, index: DataFrame, query_id: str) -> tuple[DataFrame, int]:
+    """Each query with each block of the index (``refs``), and the number of
+    blocks."""
+    refs = index.where("norm > 0")
+    size = refs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("weighted")), F.lit(0)).alias("v")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
+    packed = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", "weighted", "norm").alias("r")).groupBy("block").agg(F.collect_list("r").alias("refs"))
+    rows = queries.select(F.col(query_id), "weighted", "norm")
+    if size["n"] <= BROADCAST_ROWS and 8 * size["v"] + 64 * size["n"] <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(packed)), blocks
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(query_id), F.lit(QUERY_PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.join(packed, ["block", "part"]), blocks
+
+
+def _scored(kind: str):
+    """The block's rows as ``distance, id``."""
+    return F.transform("refs", lambda r: F.struct(distance(kind, F.col("weighted"), r["weighted"], F.col("norm"), r["norm"]).alias("distance"), r["id"].alias("id")))
+
+
 def nearest(queries: DataFrame, index: DataFrame, kind: str = "cosine", k: int = 1, query_id: str = "clip_id") -> DataFrame:
     """``query_id, rank, id, distance``: the ``k`` nearest rows of ``index(id,
     weighted, norm)`` for each of ``queries(query_id, weighted, norm)``; equal
     distances go by id.  Exact for an index of any size; query ids are distinct."""
-    refs = index.where("norm > 0")
-    size = refs.count()
-    blocks = max(1, -(-size // BLOCK_ROWS))
-    small = size <= BROADCAST_ROWS
-    packed = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", "weighted", "norm").alias("r")).groupBy("block").agg(F.collect_list("r").alias("refs"))
-    rows = queries.select(F.col(query_id), "weighted", "norm")
+    met, blocks = _met(queries, index, query_id)
     # Each query's candidates are scored and cut to k inside its own row.
-    scored = F.transform("refs", lambda r: F.struct(distance(kind, F.col("weighted"), r["weighted"], F.col("norm"), r["norm"]).alias("distance"), r["id"].alias("id")))
-    best = F.array_compact(F.array(F.array_min(scored))) if k == 1 else F.slice(F.array_sort(scored), 1, k)
-    if small:
-        met = rows.join(F.broadcast(packed))
-    else:
-        packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(query_id), F.lit(QUERY_PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = rows.join(packed, ["block", "part"])
+    best = F.array_compact(F.array(F.array_min(_scored(kind)))) if k == 1 else F.slice(F.array_sort(_scored(kind)), 1, k)
     found = met.select(query_id, F.posexplode(best).alias("rank", "b"))
     if blocks == 1:
         return found.select(query_id, (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
@@ -65,6 +75,21 @@ def nearest(queries: DataFrame, index: DataFrame, kind: str = "cosine", k: int =
     return top_k(found.select(query_id, F.col("b.id").alias("id"), F.col("b.distance").alias("distance")), "distance", k, query_id).select(query_id, "rank", "id", "distance")
 
 
+def nearest_by_each(queries: DataFrame, index: DataFrame, query_id: str = "clip_id") -> DataFrame:
+    """``query_id, id, cosine, l2``: the nearest row by cosine with its
+    distance, and the least L2 distance, in one pass over the index."""
+    met, _ = _met(queries, index, query_id)
+    both = met.select(query_id, F.array_min(_scored("cosine")).alias("c"), F.array_min(_scored("l2")).alias("l"))
+    best = both.groupBy(query_id).agg(F.min("c").alias("c"), F.min("l").alias("l"))
+    return best.select(query_id, F.col("c.id").alias("id"), F.col("c.distance").alias("cosine"), F.col("l.distance").alias("l2"))
+
+
+def without_self(found: DataFrame, k: int, query_id: str) -> DataFrame:
+    """The first ``k`` of ``k + 1`` nearest rows that are not the query itself."""
+    order = Window.partitionBy(query_id).orderBy("rank")
+    return found.where(F.col(query_id) != F.col("id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest_lsh(queries: DataFrame, index: DataFrame, query_id: str = "clip_id", threshold: float = 1.2, tables: int = 8, width: float = 0.9, leave_out_self: bool = False) -> DataFrame:
     """Nearest by cosine for large reference sets: unit vectors meet in buckets
     of random projections.  A query that meets nothing within ``threshold`` (L2
@@ -108,9 +133,7 @@ def match_reference(clips: DataFrame, index: DataFrame) -> DataFrame:
     tiers mean it), its tiers, and its confidence.  ``clips`` has the metrics,
     vectors, ``people`` and ``warnings``."""
     facts = index.select("id", F.col("name").alias("match_name"), "player_id", F.col("raw").alias("match_raw"))
-    cosine = nearest(clips, index, "cosine").select("clip_id", "id", F.col("distance").alias("cosine"))
-    euclid = nearest(clips, index, "l2").select("clip_id", F.col("distance").alias("l2"))
-    rows = clips.join(cosine, "clip_id", "left").join(euclid, "clip_id", "left").join(facts, "id", "left")
+    rows = clips.join(nearest_by_each(clips, index), "clip_id", "left").join(facts, "id", "left")
     base = F.coalesce(base_confidence(F.col("cosine")), F.lit(NO_CONFIDENCE))
     return rows.select(
         *[F.col(f"`{c}`") for c in clips.columns],

@@ -48,36 +48,32 @@ def select_landmarks(frames: DataFrame) -> DataFrame:
 
 
 def fill_gaps(channels: DataFrame) -> DataFrame:
-    """Each axis filled linearly between its known neighbours, flat beyond them,
-    0 where nothing is known; ``n`` is the clip's number of frames.  Series
-    shorter than the smoothing window only get zeros."""
-    key = ["clip_id", "side", "joint"]
-    back = Window.partitionBy(*key).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, 0)
-    known = {a: F.when(F.col(a).isNotNull(), F.struct("f", F.col(a).alias("v"))) for a in AXES}
-    rows = channels.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
-    rows = rows.select("*", *[F.last(known[a], ignorenulls=True).over(back).alias(f"_p_{a}") for a in AXES])
-    rows = rows.select("*", *[F.last(known[a], ignorenulls=True).over(ahead).alias(f"_n_{a}") for a in AXES])
-
-    def filled(a):
-        p, q = F.col(f"_p_{a}"), F.col(f"_n_{a}")
-        between = p["v"] + (q["v"] - p["v"]) * (F.col("f") - p["f"]) / (q["f"] - p["f"])
-        return F.when(F.col("n") < SMOOTH_WINDOW, F.coalesce(F.col(a), F.lit(0.0))).otherwise(F.coalesce(F.col(a), between, p["v"], q["v"], F.lit(0.0))).alias(a)
-
-    return rows.select(*key, "f", F.col("n").cast("int").alias("n"), *[filled(a) for a in AXES], F.col("v2").alias("raw_v2"))
+    """One row per channel with an array for each axis in frame order, filled
+    linearly between known neighbours, flat beyond them, 0 where nothing is
+    known; ``n`` is the clip's number of frames, ``raw_vis`` the mean raw
+    visibility.  Series shorter than the smoothing window only get zeros.
+
+    A channel is gathered once; each stretch between two known values is made
+    from these two, so the work is linear in the frames."""
+    rows = channels.groupBy("clip_id", "side", "joint").agg(F.array_sort(F.collect_list(F.struct("f", *AXES))).alias("s"), F.avg("v2").alias("raw_vis"))
+    rows = rows.select("clip_id", "side", "joint", F.size("s").alias("n"), "raw_vis", *[F.col(f"s.{a}").alias(a) for a in AXES])
+    stretch = "transform(sequence(p.i, q.i - 1), i -> p.v + (q.v - p.v) * (i - p.i) / (q.i - p.i))"
+    filled = """transform(array(filter(transform({a}, (v, i) -> struct(i as i, v as v)), x -> x.v is not null)), k -> case
+        when n < {window} then transform({a}, v -> coalesce(v, 0D))
+        when size(k) = 0 then array_repeat(0D, n)
+        else concat(array_repeat(k[0].v, k[0].i), flatten(zip_with(k, slice(k, 2, size(k)), (p, q) -> if(q is null, array_repeat(p.v, n - p.i), {stretch})))) end)[0]"""
+    return rows.select("clip_id", "side", "joint", "n", "raw_vis", *[F.expr(filled.format(a=a, window=SMOOTH_WINDOW, stretch=stretch)).alias(a) for a in AXES])
 
 
 def channel_arrays(filled: DataFrame) -> DataFrame:
-    """One row per channel: an array for each axis in frame order, smoothed
-    where the series is long enough; ``raw_vis`` is the mean raw visibility."""
-    entry = F.struct("f", *AXES)
-    rows = filled.groupBy("clip_id", "side", "joint").agg(F.array_sort(F.collect_list(entry)).alias("s"), F.first("n").alias("n"), F.avg("raw_v2").alias("raw_vis"))
-    return rows.select("clip_id", "side", "joint", "n", "raw_vis", *[F.when(F.col("n") < SMOOTH_WINDOW, F.col(f"s.{a}")).otherwise(smooth(f"s.{a}")).alias(a) for a in AXES])
+    """Filled channels smoothed where the series is long enough."""
+    return filled.select("clip_id", "side", "joint", "n", "raw_vis", *[F.when(F.col("n") < SMOOTH_WINDOW, F.col(a)).otherwise(smooth(a)).alias(a) for a in AXES])
 
 
-def long_channels(arrays: DataFrame) -> DataFrame:
+def long_channels(arrays: DataFrame, *more: str) -> DataFrame:
     """Arrays back to one row per frame."""
-    return arrays.select("clip_id", "side", "joint", F.posexplode(F.arrays_zip(*AXES)).alias("f", "p")).select("clip_id", "side", "joint", "f", *[F.col(f"p.{a}").alias(a) for a in AXES])
+    keys = ["clip_id", "side", "joint", *more]
+    return arrays.select(*keys, F.posexplode(F.arrays_zip(*AXES)).alias("f", "p")).select(*keys, "f", *[F.col(f"p.{a}").alias(a) for a in AXES])
 
 
 def clip_records(arrays: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ clips as (
     cast(case clip_id % 4 when 0 then 720 when 1 then 1280 when 2 then 200 else 1000 end as int) as height,
     case clip_id % 6 when 1 then '' when 2 then 'abc' when 3 then '0.1' when 4 then '0.2' end as start_sec,
     case clip_id % 6 when 1 then ' ' when 2 then '1.5' when 3 then '1.2' when 4 then 'x' when 5 then '0.9' end as end_sec
-  from base group by clip_id)"""
+  from (select user_id as clip_id from {events}) group by clip_id)"""
 
 BOX = """
 box as (
@@ -104,10 +104,13 @@ def all_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows.where("vec_id % 20 = 0"), rows.withColumnRenamed("vec_id", "id")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (odd ``vec_id``) and index (even) from ``embeddings``."""
-    rows = _vectors(spark, sf_dir)
-    return rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "id")
+def wide_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as a pose scan gives them: maps of landmarks, NaN where lost."""
+    nan = F.lit(float("nan"))
+    key = F.concat_ws("_", "side", "joint")
+    point = lambda axes, names: F.struct(key, F.struct(*[F.coalesce(F.col(a), nan).alias(n) for a, n in zip(axes, names)]))
+    rows = pose(spark, sf_dir).groupBy("clip_id", F.col("f").alias("frame_idx"))
+    return rows.agg(F.first("n_people").alias("n_people"), F.map_from_entries(F.collect_list(point(("x3", "y3", "z3"), "xyz"))).alias("p3"), F.map_from_entries(F.collect_list(point(("x2", "y2", "v2"), ("x", "y", "visibility")))).alias("p2"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stridelake.functions import angle
 from stridelake.operators import drift, match, metrics, reference, report, series, studies
 from stridelake.plans import fixtures
-from stridelake.sources import AXES, METRICS, or_else, seed_table, settled, sport_metrics, sports, table
+from stridelake.sources import METRICS, melt_pose, or_else, overwrite, read_baselines, read_box_scores, read_pose_frames, seed_table, settled, shared_folder, sport_metrics, sports, table, write_baselines
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,7 +39,9 @@ def arrays(spark, d, short=False):
 
 
 def sided(spark, d):
-    return metrics.shooting_side(series.clip_records(arrays(spark, d), bounds(spark, d)))
+    """Clips with their channels, computed once: all that follows is scalar
+    work on them, and its expressions do not nest."""
+    return settled(metrics.shooting_side(series.clip_records(arrays(spark, d), bounds(spark, d))))
 
 
 def measured(spark, d):
@@ -76,6 +78,41 @@ def runs(spark, d):
     return settled(rows).withColumn("cohort", F.col("clip_id") % 10).withColumn("day", F.floor(F.col("clip_id") / 10))
 
 
+# -- scans and sinks -------------------------------------------------------------
+@query
+def pose_scan(spark, d):
+    """Pose frames written in the scan's schema, read back and melted."""
+    path = shared_folder(spark)
+    overwrite(fixtures.wide_pose(spark, d), path)
+    return rounded(melt_pose(read_pose_frames(spark, path)))
+
+
+@query
+def box_scan(spark, d):
+    """A league table as CSV, read as text and coerced."""
+    path = shared_folder(spark)
+    fixtures.box(spark, d).select("PLAYER_ID", "PLAYER_NAME", "TEAM_ID", "GP", "REB", "AST", "TOV", "FG3_PCT", "PTS").write.csv(path, header=True)
+    rows = reference.reference_index(reference.cleaned(read_box_scores(spark, path)))
+    return rows.select("id", "name", "player_id", *[F.col("raw")[k].alias(f"v{k}") for k in range(8)])
+
+
+@query
+def index_write(spark, d):
+    """The index written twice over the same place, and its row count."""
+    path = shared_folder(spark)
+    overwrite(index(spark, d), path)
+    there = overwrite(index(spark, d), path)
+    return there.agg(F.count("*").alias("entries"), F.countDistinct("id").alias("ids"))
+
+
+@query
+def baseline_roundtrip(spark, d):
+    """Baselines written as JSON objects and read back."""
+    path = shared_folder(spark)
+    write_baselines(drift.capture(records(spark, d)), path)
+    return rounded(read_baselines(spark, path), 2)
+
+
 # -- series --------------------------------------------------------------------
 @query
 def clip_range_filter(spark, d):
@@ -96,7 +133,7 @@ def frame_sampling_people(spark, d):
 
 @query
 def gap_fill(spark, d):
-    return rounded(series.fill_gaps(fixtures.pose(spark, d)).select("clip_id", "side", "joint", "f", "n", *AXES))
+    return rounded(series.long_channels(series.fill_gaps(fixtures.pose(spark, d)), "n"))
 
 
 @query
@@ -227,20 +264,20 @@ def weighted_vectors(spark, d):
 
 @query
 def nn_cosine(spark, d):
-    q, i = fixtures.vectors(spark, d)
-    return rounded(match.nearest(q, i, "cosine", 1, "vec_id").select("vec_id", "id", "distance"))
+    q, i = fixtures.all_vectors(spark, d)
+    return rounded(match.without_self(match.nearest(q, i, "cosine", 2, "vec_id"), 1, "vec_id").select("vec_id", "id", "distance"))
 
 
 @query
 def nn_l2(spark, d):
-    q, i = fixtures.vectors(spark, d)
-    return rounded(match.nearest(q, i, "l2", 1, "vec_id").select("vec_id", "id", "distance"))
+    q, i = fixtures.all_vectors(spark, d)
+    return rounded(match.without_self(match.nearest(q, i, "l2", 2, "vec_id"), 1, "vec_id").select("vec_id", "id", "distance"))
 
 
 @query
 def nn_topk(spark, d):
-    q, i = fixtures.vectors(spark, d)
-    return rounded(match.nearest(q, i, "cosine", 3, "vec_id"))
+    q, i = fixtures.all_vectors(spark, d)
+    return rounded(match.without_self(match.nearest(q, i, "cosine", 4, "vec_id"), 3, "vec_id"))
 
 
 @query
@@ -254,6 +291,14 @@ def match_confidence_tier(spark, d):
     return rounded(matched(spark, d).select("clip_id", "match_id", "match_name", "match_cosine", "match_l2", "tier_cosine", "tier_l2", "base_confidence", "confidence"), 5)
 
 
+@query
+def match_empty_index(spark, d):
+    """Clips against an index without a row: the defaults of no match."""
+    none = settled(index(spark, d).where("player_id < 0"))
+    rows = match.match_reference(reference.query_vector(records(spark, d)), none)
+    return rows.select("clip_id", "match_name", "match_cosine", "match_l2", "tier_cosine", "tier_l2", "base_confidence", "confidence")
+
+
 @query
 def matched_pro(spark, d):
     rows = match.match_stats(matched(spark, d))
@@ -357,8 +402,9 @@ def run_stddev(spark, d):
 
 @query
 def truth_mae(spark, d):
-    raw = fixtures.pose(spark, d).where("side = 'left' and x2 is not null").select("clip_id", "joint", "f", F.col("x2").alias("x"), F.col("y2").alias("y"))
-    found = series.long_channels(series.channel_arrays(series.fill_gaps(fixtures.pose(spark, d).where("side = 'left'")))).select("clip_id", "joint", "f", F.col("x2").alias("x"), F.col("y2").alias("y"))
+    joint = F.concat_ws("_", "side", "joint").alias("joint")
+    raw = fixtures.pose(spark, d).where("x2 is not null").select("clip_id", joint, "f", F.col("x2").alias("x"), F.col("y2").alias("y"))
+    found = series.long_channels(series.channel_arrays(series.fill_gaps(fixtures.pose(spark, d)))).select("clip_id", joint, "f", F.col("x2").alias("x"), F.col("y2").alias("y"))
     return rounded(studies.joint_error(found, raw), 6)
 
 

@@ -185,7 +185,7 @@ _OK = "where n >= 5"
 _SPORT = "case when clip_id % 7 = 0 then 'cricket' when clip_id % 5 = 0 then 'tennis' else 'basketball' end"
 _UNPIVOT = "(" + " union all ".join(f"select clip_id, fell, '{m}' as metric, cast({m} as double) as value from rec" for m in NAMES) + ")"
 _TOL = "case metric when 'release_velocity_mps' then 0.6e0 when 'shot_arc_deg' then 6e0 when 'knee_angle' then 10e0 when 'elbow_angle' then 10e0 when 'kinetic_sync_ms' then 50e0 when 'hip_rotation_deg' then 8e0 else 15e0 end"
-_VECTORS = "v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null), p as (select q.vec_id, i.vec_id as id, 1 - list_cosine_similarity(q.e, i.e) as c, list_distance(q.e, i.e) as l from v q, v i where q.vec_id % 2 = 1 and i.vec_id % 2 = 0)"
+_VECTORS = "v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null), p as (select q.vec_id, i.vec_id as id, 1 - list_cosine_similarity(q.e, i.e) as c, list_distance(q.e, i.e) as l from v q, v i where q.vec_id % 20 = 0 and i.vec_id <> q.vec_id)"
 _KNEE = f"ang as (select hip.clip_id, hip.f, {_ang('hip', 'knee', 'ankle')} as angle from act hip join act knee on knee.clip_id = hip.clip_id and knee.f = hip.f and knee.joint = 'knee' join act ankle on ankle.clip_id = hip.clip_id and ankle.f = hip.f and ankle.joint = 'ankle' join sides on sides.clip_id = hip.clip_id where hip.joint = 'hip' and n >= 5)"
 _LANDMARK_ROWS = ", ".join(f"('{s}', '{j}', {i})" for j, pair in {"shoulder": (11, 12), "elbow": (13, 14), "wrist": (15, 16), "hip": (23, 24), "knee": (25, 26), "ankle": (27, 28)}.items() for s, i in zip(("left", "right"), pair))
 _SEEDS = ", ".join("(" + ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in row) + ")" for row in SEED_ROWS)
@@ -194,6 +194,11 @@ _RUNS = "runs as (select *, clip_id % 10 as cohort, clip_id // 10 as day from re
 _FEEDBACK = "case when clip_id % 3 = 0 then 'list' when clip_id % 3 = 1 then 'text' end"
 
 ORACLE: dict[str, str] = {
+    "pose_scan": sql(",".join((X.BASE, X.POSE)), f"select clip_id, f, n_people, side, joint, {_r(' '.join(AXES))} from pose_all"),
+    "box_scan": sql(",".join((X.BOX, CLEAN_BOX, PROS)), "select id, name, player_id, v0, v1, v2, v3, v4, v5, v6, v7 from refs"),
+    "index_write": sql(",".join((X.BOX, CLEAN_BOX, PROS)), "select count(*) as entries, count(distinct id) as ids from refs"),
+    "baseline_roundtrip": sql(_REC, f"select clip_id, metric, value as baseline, {_TOL} as tolerance from {_UNPIVOT} where not fell"),
+    "match_empty_index": sql(_JUDGED, "select clip_id, '—' as match_name, 999e0 as match_cosine, 999e0 as match_l2, '$8k - Amateur' as tier_cosine, '$8k - Amateur' as tier_l2, 88.5e0 as base_confidence, case when len(warnings) > 0 then round(c * greatest(0.7e0, 1 - len(warnings) * 0.03e0), 1) else c end as confidence from (select *, case when people > 1 then round(88.5e0 * 0.85e0, 1) else 88.5e0 end as c from judged)"),
     "clip_range_filter": sql(_POSE, "select w.clip_id, w.f - lo as f, cast(floor(1000 * w.f / fps) as int) as ms, e from wave w join bounds using (clip_id) where w.f >= lo and w.f < hi"),
     "landmark_select": sql(X.BASE, f"select clip_id, f, side, joint, case when i < size then ((e + i) % 101) / 100e0 end as x, case when i < size then ((e * 3 + i) % 97) / 100e0 end as y, case when i < size then (k % 7) / 10e0 end as z from (select *, case when e % 13 = 0 then 0 when e % 7 = 0 then 20 else 33 end as size from wave) cross join (values {_LANDMARK_ROWS}) as t(side, joint, i)"),
     "frame_sampling_people": sql(",".join((_POSE, PEOPLE)), "select clip_id, people_max, sampled, people_max > 1 as multi_person from ppl"),
@@ -230,14 +235,14 @@ ORACLE: dict[str, str] = {
     "metric_deltas": sql(_MATCHED, f"select clip_id, {', '.join(f'round(round({v} - coalesce(nullif(cast({m} as double), 0), {z}), 6), {p}) as {g}' for g, v, m, z, p in _GAPS)} from matched"),
     "report_normalise": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, case when clip_id % 4 = 0 then '—' else concat('Jump shot ', clip_id) end as athlete_action, case when clip_id % 5 = 0 then '—' else 'solid' end as scout_report, case when clip_id % 5 = 0 then '' else 'swish' end as witty_catchphrase, (case {_FEEDBACK} when 'list' then 2 when 'text' then 1 else 0 end)::int as n_feedback, case {_FEEDBACK} when 'list' then 'form' when 'text' then 'general' end as first_category, case {_FEEDBACK} when 'list' then 'steady' when 'text' then concat('keep going ', clip_id) end as first_observation from clips"),
     "baseline_capture": sql(_REC, f"select clip_id, metric, value as baseline, {_TOL} as tolerance from {_UNPIVOT} where not fell"),
-    "drift_check": sql(_REC, f"select clip_id, count(*)::int as n, string_agg(message, '; ' order by metric) as messages from (select clip_id, metric, case when (clip_id + length(metric)) % 11 = 0 then concat(metric, ': missing') when clip_id % 9 > {_TOL} then concat(metric, ': drift beyond ', {_TOL}) end as message from {_UNPIVOT} where not fell) where message is not null group by clip_id"),
+    "drift_check": sql(_REC, f"select clip_id, count(*)::int as n, string_agg(message, '; ' order by metric) as messages from (select clip_id, metric, case when (clip_id + length(metric)) % 11 = 0 then concat(metric, ': missing') when clip_id % 9 > {_TOL} then printf('%s: expected %.2f, got %.2f, tolerance %.2f', metric, value, value + clip_id % 9, {_TOL}) end as message from {_UNPIVOT} where not fell) where message is not null group by clip_id"),
     "sport_lookup": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, {_SPORT} as sport, case {_SPORT} when 'tennis' then 'Tennis' else 'Basketball' end as name, case {_SPORT} when 'tennis' then 3e0 else 2e0 end as min_clip_sec, (case {_SPORT} when 'tennis' then 4 else 5 end)::int as phases from clips"),
     "sport_metrics_listing": sql(",".join((X.BASE, X.CLIPS)), f"select t.sport, t.name, t.m::bigint as metrics, t.m > 0 as available, coalesce(c.n, 0)::bigint as clips from (values ('basketball', 'Basketball', 8), ('tennis', 'Tennis', 0), ('golf', 'Golf', 0)) as t(sport, name, m) left join (select {_SPORT} as sport, count(*) as n from clips group by 1) c on c.sport = t.sport"),
     "shot_segments": sql(_EV, "select clip_id, shot, min(f)::int as first_f, max(f)::int as last_f, max(case when hit = 1 then f end)::int as release_f from (select clip_id, f, hit, coalesce(sum(hit) over (partition by clip_id order by f rows between unbounded preceding and 1 preceding), 0)::bigint as shot from (select clip_id, f, case when round(y2, 6) < lag(round(y2, 6)) over k and round(y2, 6) <= lead(round(y2, 6)) over k then 1 when lag(y2) over k is null or lead(y2) over k is null then 0 else 0 end as hit from wr where n >= 5 window k as (partition by clip_id order by f))) group by clip_id, shot"),
     "subject_rank": sql(X.BASE, "select clip_id, subject, size, centre_x, round(score, 7) as score from (select *, row_number() over (partition by clip_id order by score desc, subject) as place from (select clip_id, e as subject, k / 100e0 as size, (e % 101) / 100e0 as centre_x, k / 100e0 * (1 - 2 * abs((e % 101) / 100e0 - 0.5e0)) as score from wave)) where place = 1"),
     "angle_jumps": sql(",".join((_EV, _KNEE)), "select clip_id, f::int as f, round(angle, 5) as angle, round(jump, 5) as jump from (select *, abs(angle - lag(angle) over (partition by clip_id order by f)) as jump from ang) where jump > 15"),
     "run_stddev": sql(",".join((_REC, _RUNS)), f"select cohort, count(*) as runs, {', '.join(f'round(stddev_pop(cast({m} as double)), 6) as {m}' for m in NAMES)} from runs group by cohort"),
-    "truth_mae": sql(",".join((_POSE, "pose as (select * from pose_all where side = 'left')", SERIES)), "select s.joint, round(avg((abs(s.x2 - p.x2) + abs(s.y2 - p.y2)) / 2), 6) as mae, count(*) as frames from sm s join pose p on p.clip_id = s.clip_id and p.joint = s.joint and p.f = s.f where p.x2 is not null group by s.joint"),
+    "truth_mae": sql(",".join((_POSE, WHOLE, SERIES)), "select concat(s.side, '_', s.joint) as joint, round(avg((abs(s.x2 - p.x2) + abs(s.y2 - p.y2)) / 2), 6) as mae, count(*) as frames from sm s join pose p on p.clip_id = s.clip_id and p.side = s.side and p.joint = s.joint and p.f = s.f where p.x2 is not null group by 1"),
     "expert_corr": sql(",".join((_REC, _RUNS)), "select round(corr(knee_angle, elbow_angle), 6) as knee_elbow, round(corr(balance_index, hip_rotation_deg), 6) as balance_hip from runs where status = 'ok'"),
     "benchmark_prf": sql(",".join((_REC, _RUNS)), "select tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::double, 7) as accuracy, round(tp / nullif(tp + fp, 0)::double, 7) as precision, round(tp / nullif(tp + fn, 0)::double, 7) as recall from (select count(*) filter (knee_angle > 140 and clip_id % 3 = 0) as tp, count(*) filter (knee_angle > 140 and clip_id % 3 <> 0) as fp, count(*) filter (not knee_angle > 140 and clip_id % 3 = 0) as fn, count(*) filter (not knee_angle > 140 and clip_id % 3 <> 0) as tn from runs)"),
     "metric_trend": sql(",".join((_REC, _RUNS)), "select cohort, round(regr_slope(knee_angle, day), 5) as slope, round(arg_max(moving, day), 5) as last_moving, count(*) as points from (select *, avg(knee_angle) over (partition by cohort order by day rows between 2 preceding and current row) as moving from runs) group by cohort"),

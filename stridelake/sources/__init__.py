@@ -142,14 +142,15 @@ def sport_metrics(spark: SparkSession) -> DataFrame:
     return rows.withColumn("low", part[0].cast("double")).withColumn("high", part[1].cast("double"))
 
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """``metric, baseline, tolerance`` from a JSON object of two maps."""
-    both = spark.read.schema("baseline map<string,double>, tolerances map<string,double>").json(path, multiLine=True)
-    return both.select(F.explode("baseline").alias("metric", "baseline"), "tolerances").select("metric", "baseline", F.try_element_at("tolerances", F.col("metric")).alias("tolerance"))
-
-
-def write_baseline(baseline: DataFrame, path: str) -> None:
-    """The sink that ``read_baseline`` reads: one JSON object of two maps; the
-    rows are the eight metrics of one clip."""
-    maps = baseline.agg(F.map_from_entries(F.collect_list(F.struct("metric", "baseline"))).alias("baseline"), F.map_from_entries(F.collect_list(F.struct("metric", "tolerance"))).alias("tolerances"))
-    maps.coalesce(1).write.mode("overwrite").json(path)
+def read_baselines(spark: SparkSession, path: str) -> DataFrame:
+    """``clip_id, metric, baseline, tolerance`` from JSON objects of two maps,
+    one for each clip."""
+    both = spark.read.schema("clip_id long, baseline map<string,double>, tolerances map<string,double>").json(path)
+    rows = both.select("clip_id", F.explode("baseline").alias("metric", "baseline"), "tolerances")
+    return rows.select("clip_id", "metric", "baseline", F.try_element_at("tolerances", F.col("metric")).alias("tolerance"))
+
+
+def write_baselines(baselines: DataFrame, path: str) -> None:
+    """The sink that ``read_baselines`` reads."""
+    maps = baselines.groupBy("clip_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "baseline"))).alias("baseline"), F.map_from_entries(F.collect_list(F.struct("metric", "tolerance"))).alias("tolerances"))
+    maps.write.mode("overwrite").json(path)
