@@ -172,13 +172,11 @@ def own_grams(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long")
 
 
-EDGES = "h long, l binary, r binary, n long, k1 array<long>, k2 array<long>, p array<long>"
-
-
-def edges(texts: DataFrame, shared: DataFrame) -> DataFrame:
+def edges(texts: DataFrame, shared: DataFrame, places: bool) -> DataFrame:
     """Suffix tuples whose gram is in ``shared(h)``, a written table: the bytes
     before (``l``) and from (``r``) the picked place that their windows cover,
-    equal ones of a batch together with the ``k1, k2, p`` of their places."""
+    equal ones of a batch together, with their number ``n`` or, where ``places``
+    are asked for, with the ``k1, k2, p`` of each."""
     spark = texts.sparkSession
     if shared.count() * 16 <= BROADCAST_BYTES:
         known = spark.sparkContext.broadcast(np.sort(shared.toPandas()["h"].to_numpy(np.int64)))
@@ -190,11 +188,12 @@ def edges(texts: DataFrame, shared: DataFrame) -> DataFrame:
         texts = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
     def sent(held: dict) -> pa.RecordBatch:
-        keys, places = list(held), list(held.values())
+        keys, found = list(held), list(held.values())
         columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-        columns.append(pa.array([len(x) for x in places], pa.int64()))
-        columns += [pa.array([[x[i] for x in own] for own in places], pa.list_(pa.int64())) for i in range(3)]
-        return pa.RecordBatch.from_arrays(columns, names=["h", "l", "r", "n", "k1", "k2", "p"])
+        if not places:
+            return pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in found], pa.int64())], names=["h", "l", "r", "n"])
+        columns += [pa.array([[x[i] for x in own] for own in found], pa.list_(pa.int64())) for i in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "l", "r", "k1", "k2", "p"])
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +215,7 @@ def edges(texts: DataFrame, shared: DataFrame) -> DataFrame:
             if held:
                 yield sent(held)
 
-    return texts.mapInArrow(run, EDGES)
+    return texts.mapInArrow(run, "h long, l binary, r binary, " + ("k1 array<long>, k2 array<long>, p array<long>" if places else "n long"))
 
 
 # -- induced sorting -------------------------------------------------------
@@ -265,8 +264,17 @@ def induce(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np
     return least, most
 
 
+def name(h: str = "h", l: str = "l", r: str = "r") -> list:
+    """192 bits that name a tuple: cells are told apart by their bytes, and a
+    verdict goes back to its tuple by these, so that no byte travels again."""
+    return [F.col(h).alias("h"), F.xxhash64(l, r).alias("n1"), F.xxhash64(F.lit(1), l, r).alias("n2")]
+
+
+_NAME = ["h", "n1", "n2"]
+
+
 def sort_groups(rows: DataFrame) -> DataFrame:
-    """``h, l, r, lo, hi`` for the tuples of ``rows(h, l, r, c)`` with windows
+    """``h, n1, n2, lo, hi`` for the tuples of ``rows(h, l, r, c)`` with windows
     that repeat: the smallest and largest offset of one before the sampled
     place.  ``c`` says how often a tuple occurs; groups ``h`` are whole."""
 
@@ -293,27 +301,29 @@ def sort_groups(rows: DataFrame) -> DataFrame:
             yield settle(held)
 
     sorted_ = rows.select("h", "l", "r", "c").repartition("h").sortWithinPartitions("h", "r")
-    return sorted_.mapInArrow(run, "h long, l binary, r binary, lo int, hi int")
+    return sorted_.mapInArrow(run, "h long, l binary, r binary, lo int, hi int").select(*name(), "lo", "hi")
 
 
 def repeats(cells: DataFrame, level: int = 0) -> DataFrame:
-    """``h, l, r, lo, hi`` as in ``sort_groups`` for groups of any size, from
+    """``h, n1, n2, lo, hi`` as in ``sort_groups`` for groups of any size, from
     different ``cells(h, l, r, c)``, a written table."""
-    groups = cells.groupBy("h").agg(F.count("*").alias("g"), F.max("c").alias("most")).where("g > 1 or most > 1")
-    sized = cells.join(groups, "h")
     if level == len(SPLITS):
-        return sort_groups(sized)
-    found = sort_groups(sized.where(F.col("g") <= GROUP))
-    crowded = sized.where(F.col("g") > GROUP)
-    if crowded.isEmpty():
-        return found
-    parts = materialize(split_rows(crowded, SPLITS[level]), "ranges")
-    below = materialize(parts.groupBy("h2", "l2", "r2").agg(F.sum("c").alias("c")).select(F.col("h2").alias("h"), F.col("l2").alias("l"), F.col("r2").alias("r"), "c"), "cells")
-    settled = repeats(below, level + 1).select(F.col("h").alias("h2"), F.col("l").alias("l2"), F.col("r").alias("r2"), "lo", "hi")
+        return sort_groups(cells)
+    full = materialize(cells.groupBy("h").agg(F.count("*").alias("g")).where(F.col("g") > GROUP).select("h"), "full")
+    if full.isEmpty():
+        return sort_groups(cells)
+    full = small_side(full, 16)
+    found = sort_groups(cells.join(full, "h", "left_anti"))
+    crowded = cells.join(full, "h", "left_semi")
+    below = split_rows(crowded, SPLITS[level]).groupBy("h2", "l2", "r2").agg(F.sum("c").alias("c"))
+    below = materialize(below.select(F.col("h2").alias("h"), F.col("l2").alias("l"), F.col("r2").alias("r"), "c"), "cells")
+    settled = materialize(repeats(below, level + 1), "settled")
     # Windows are longer than any two offsets are apart: what a tuple's repeated
     # windows cover is one run from the first to the last.
-    back = parts.join(settled, ["h2", "l2", "r2"]).groupBy("h", "l", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return found.unionByName(back)
+    owner = F.struct(*name()).alias("owner")
+    parts = split_rows(crowded, SPLITS[level]).select(owner, *name("h2", "l2", "r2"))
+    back = parts.join(settled, _NAME).groupBy("owner").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.unionByName(back.select("owner.*", "lo", "hi"))
 
 
 def _hash(*parts: bytes) -> int:
@@ -355,9 +365,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         texts = texts.join(F.broadcast(copies.select("k1", "k2", "rep")), ["k1", "k2"], "left").where("rep is null or rep = d")
     with small_batches(docs.sparkSession), scratch(docs.sparkSession) as result:
         shared = materialize(gram_counts(texts).where("c > 1").select("h"), "grams")
-        rows = materialize(edges(texts, shared), "edges")
-        cells = materialize(rows.groupBy("h", "l", "r").agg(F.sum("n").alias("c")), "cells")
-        found = materialize(repeats(cells), "repeats")
+        # Tuples are cut twice: with their bytes for the order, and by name for
+        # their places.
+        cells = edges(texts, shared, places=False).groupBy("h", "l", "r").agg(F.sum("n").alias("c"))
+        found = materialize(repeats(materialize(cells, "cells")), "repeats")
+        rows = edges(texts, shared, places=True).select(*name(), "k1", "k2", "p")
 
         @trimmed
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +381,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                 cut = [[{"start": a, "stop": b} for a, b in spans(list(x))] for x in held.values()]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array(cut, _RANGES)], names=["k1", "k2", "ranges"])
 
-        # Cells were told apart by their bytes; 128 bits beside the gram's 64 name
-        # a cell on the way back to its places, so no byte travels again.
-        name = [F.col("h"), F.xxhash64("l", "r").alias("n1"), F.xxhash64(F.lit(1), "l", "r").alias("n2")]
-        met = rows.select(*name, "k1", "k2", "p").join(found.select(*name, "lo", "hi"), ["h", "n1", "n2"]).select("k1", "k2", "p", "lo", "hi").mapInArrow(placed, "k1 long, k2 long, ranges array<struct<start:long,stop:long>>")
+        met = rows.join(found, _NAME).select("k1", "k2", "p", "lo", "hi").mapInArrow(placed, "k1 long, k2 long, ranges array<struct<start:long,stop:long>>")
         whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("ranges"))
         return written(met.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), result)
 
