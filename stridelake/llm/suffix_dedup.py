@@ -172,18 +172,23 @@ def own_grams(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long")
 
 
-def edges(texts: DataFrame, shared: DataFrame, places: bool) -> DataFrame:
+def known_grams(shared: DataFrame):
+    """The sorted grams of ``shared(h)``, a written table, as a broadcast array;
+    none if they are too many for one."""
+    if shared.count() * 16 > BROADCAST_BYTES:
+        return None
+    return shared.sparkSession.sparkContext.broadcast(np.sort(shared.toPandas()["h"].to_numpy(np.int64)))
+
+
+def edges(texts: DataFrame, shared: DataFrame, known, places: bool) -> DataFrame:
     """Suffix tuples whose gram is in ``shared(h)``, a written table: the bytes
     before (``l``) and from (``r``) the picked place that their windows cover,
     equal ones of a batch together, with their number ``n`` or, where ``places``
-    are asked for, with the ``k1, k2, p`` of each."""
-    spark = texts.sparkSession
-    if shared.count() * 16 <= BROADCAST_BYTES:
-        known = spark.sparkContext.broadcast(np.sort(shared.toPandas()["h"].to_numpy(np.int64)))
+    are asked for, with the ``k1, k2, p`` of each.  ``known`` are the same grams
+    as a broadcast; without it each text gets the list of its own."""
+    if known is not None:
         texts = texts.select("k1", "k2", "text")
     else:
-        # Beyond that each text gets the list of its own shared grams.
-        known = None
         lists = own_grams(texts).join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
         texts = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
@@ -365,11 +370,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         texts = texts.join(F.broadcast(copies.select("k1", "k2", "rep")), ["k1", "k2"], "left").where("rep is null or rep = d")
     with small_batches(docs.sparkSession), scratch(docs.sparkSession) as result:
         shared = materialize(gram_counts(texts).where("c > 1").select("h"), "grams")
+        known = known_grams(shared)
         # Tuples are cut twice: with their bytes for the order, and by name for
         # their places.
-        cells = edges(texts, shared, places=False).groupBy("h", "l", "r").agg(F.sum("n").alias("c"))
+        cells = edges(texts, shared, known, places=False).groupBy("h", "l", "r").agg(F.sum("n").alias("c"))
         found = materialize(repeats(materialize(cells, "cells")), "repeats")
-        rows = edges(texts, shared, places=True).select(*name(), "k1", "k2", "p")
+        rows = edges(texts, shared, known, places=True).select(*name(), "k1", "k2", "p")
 
         @trimmed
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
