@@ -88,7 +88,13 @@ def small_side(written_table: DataFrame, row_bytes: int) -> DataFrame:
     """A written table, marked for broadcast if its counted rows, at
     ``row_bytes`` each, stay below ``BROADCAST_BYTES``; as it is beyond, where
     the join shuffles."""
-    return F.broadcast(written_table) if written_table.count() * row_bytes <= BROADCAST_BYTES else written_table
+    return bounded(written_table, written_table.count(), row_bytes)
+
+
+def bounded(table: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``table``, known to have ``rows`` rows at most, marked for broadcast if
+    these stay below ``BROADCAST_BYTES``."""
+    return F.broadcast(table) if rows * row_bytes <= BROADCAST_BYTES else table
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -143,49 +149,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(src long, dst long)`` with its component's
     smallest node: columns ``node, component``.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until
-    nothing changes.  Each is a partially aggregated minimum and an equi-join on
-    the node, so a node with very many neighbours is split like any skewed join;
-    links never reach the driver.  Self-loops and repeated edges are ignored.
-    Empty in, empty out.
+    Contraction (Boegeholz, Brand and Todor, 2020): each node is merged into the
+    least node of its closed neighbourhood, and only edges between different
+    merged nodes go into the next round.  Rounds alternate between the order of
+    the ids, in which the stars that blocks give collapse at once, and a fresh
+    hashed order, which takes away a fixed share of the nodes of any graph on
+    average.  So all rounds together handle a small multiple of the edges, and
+    their number grows with the logarithm of the nodes.  Names are then followed
+    back from the last round to the first.
+
+    A neighbourhood is only ever a partially aggregated minimum; a hub's edges
+    meet its name in a join whose other side has one row a node.  Links never
+    reach the driver.  Self-loops and repeated edges are ignored.  Empty in,
+    empty out.
     """
-
-    def swapped(e: DataFrame) -> DataFrame:
-        return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-    def star(pairs: DataFrame, keep) -> DataFrame:
-        least = pairs.groupBy("src").agg(F.min("dst").alias("m"))
-        least = least.select("src", F.least("src", "m").alias("m"))
-        return pairs.join(least, "src").transform(keep)
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(swapped(e))
-        return star(both, lambda j: j.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
-
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("m"))
-        hung = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        return hung.unionByName(least.withColumnRenamed("m", "dst")).where("src <> dst").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-
     spark = edges.sparkSession
-    path = fresh_path(spark, "cc")
-    current = written(edges.select("src", "dst").where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), path)
-    before = state(current)
-    while before[0]:
-        last, path = path, fresh_path(spark, "cc")
-        current = written(small(large(current)), path)
-        discard(spark, last)
-        after = state(current)
-        if after == before:
-            break
-        before = after
-    stars = current.groupBy("src").agg(F.min("dst").alias("dst"))
-    roots = current.select(F.col("dst").alias("node")).distinct()
-    return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+    def once(e: DataFrame, path: str) -> DataFrame:
+        e = e.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        return written(e.distinct(), path)
+
+    def least(e: DataFrame, k: int) -> DataFrame:
+        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        if k % 2 == 0:
+            return both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("name"))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("node"))
+        best = both.groupBy("src").agg(F.min(rank("dst")).alias("m"))
+        return best.select(F.col("src").alias("node"), F.least(rank("src"), "m")["node"].alias("name"))
+
+    paths = [fresh_path(spark, "cc")]
+    current = once(edges.select("src", "dst"), paths[0])
+    rounds: list[tuple[DataFrame, int]] = []
+    while not current.isEmpty():
+        paths += [fresh_path(spark, "cc-names"), fresh_path(spark, "cc")]
+        names = written(least(current, len(rounds)), paths[-2])
+        rounds.append((names, names.count()))
+        of = bounded(names, rounds[-1][1], 24)
+        merged = current.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst")
+        current = once(merged.select(F.col("a").alias("src"), F.col("b").alias("dst")), paths[-1])
+    if not rounds:
+        return current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    last, n = rounds.pop()
+    for names, more in reversed(rounds):
+        later = bounded(last.toDF("name", "final"), n, 24)
+        last, n = names.join(later, "name", "left").select("node", F.coalesce("final", "name").alias("name")), more
+    last = materialize(last, "components")
+    for path in paths:
+        discard(spark, path)
+    # A component has two nodes at least.
+    smallest = bounded(last.groupBy("name").agg(F.min("node").alias("component")), n // 2, 24)
+    return last.join(smallest, "name").select("node", "component")
 
 
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
