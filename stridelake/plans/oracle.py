@@ -29,7 +29,9 @@ _MATRIX = "[" + ", ".join("[" + ", ".join(f"{v}e0/858e0" for v in r) + "]" for r
 
 
 def sql(ctes: str, select: str) -> str:
-    return f"with {ctes} {select}".format(**TABLES)
+    """One text; the closing order keeps a row limit above it from reaching the
+    joins, where DuckDB may not return."""
+    return f"with {ctes} select * from ({select}) order by all".format(**TABLES)
 
 
 BOUNDS = """
@@ -98,7 +100,7 @@ both_sides as (select ev.clip_id, s.joint, max(case when s.side = 'right' then s
 tw as (select clip_id, degrees(max(case when joint = 'shoulder' then atan2(dz, dx) end) - max(case when joint = 'hip' then atan2(dz, dx) end)) + 180 as t, abs(max(case when joint = 'hip' then mid end) - max(case when joint = 'ankle' then mid end)) as lean from both_sides group by clip_id),
 jk0 as (select w.clip_id, w.y2 - 2 * lag(w.y2, 1) over k + lag(w.y2, 2) over k as dd from wr w join ev on w.clip_id = ev.clip_id and w.f >= d and w.f < r window k as (partition by w.clip_id order by w.f)),
 jk as (select clip_id, stddev_pop(dd) as jerk from jk0 group by clip_id),
-raw as (select ev.clip_id, n, d, r, fps, case when knees.a < 10 then 135e0 else knees.a end as raw_knee, case when elbows.a < 10 then 165e0 else elbows.a end as raw_elbow, torso, power,
+raw as materialized (select ev.clip_id, n, d, r, fps, case when knees.a < 10 then 135e0 else knees.a end as raw_knee, case when elbows.a < 10 then 165e0 else elbows.a end as raw_elbow, torso, power,
   case when power > 0 then greatest(least(power * 3.5, 10e0), 4e0) else 6.5e0 end as velocity, lever_arc, flight_arc, case when flight_arc between 30 and 75 then flight_arc else lever_arc end as arc,
   ((t % 360) + 360) % 360 - 180 as twist, greatest(least(((t % 360) + 360) % 360 - 180, 45e0), -45e0) as hip_rotation,
   greatest(least(abs(r - d) / (case when abs(r - d) > 15 then fps * abs(r - d) / 8e0 else fps end) * 1000, 395e0), 120e0) as sync,
