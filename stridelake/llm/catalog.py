@@ -7,6 +7,8 @@ from stridelake.llm.cover_tree import op3_cover_tree
 from stridelake.llm.langid import op6_langid
 from stridelake.llm.line_rules import ORACLE_SQL as LINE_RULES_SQL
 from stridelake.llm.line_rules import op8_line_rules
+from stridelake.llm.merkle import ORACLE_SQL as MERKLE_SQL
+from stridelake.llm.merkle import op11_merkle
 from stridelake.llm.packing import op7_packing
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
@@ -27,8 +29,9 @@ def queries() -> dict:
         "op8_line_rules": op8_line_rules,
         "op9_quality_eb": op9_quality_eb,
         "op10_simhash": op10_simhash,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_rules": LINE_RULES_SQL}
+    return {"op8_line_rules": LINE_RULES_SQL, "op11_merkle": MERKLE_SQL}
