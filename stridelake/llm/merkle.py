@@ -192,7 +192,7 @@ with recursive climb(rank, i, level, up, slot, fold, link, doc_id, leaf, subroot
     concat(substring(n.kids, 1, 32 * c.slot), substring(n.kids, 32 * c.slot + 33)),
     cast(null as bigint), cast(null as binary), n.subroot
   from climb c join {nodes} n on n.rank = c.rank and n.block = c.i div {cell} and n.node = c.up)
-select rank, i, level, fold, link, doc_id, leaf, subroot from climb"""
+select rank, i, level, if(up is null, fold, null) as folded, link, doc_id, leaf, subroot from climb"""
 
 
 def climbed(spark: SparkSession, placed: DataFrame, nodes: DataFrame, path: str | None = None) -> DataFrame:
@@ -202,11 +202,11 @@ def climbed(spark: SparkSession, placed: DataFrame, nodes: DataFrame, path: str
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        steps = spark.sql(CLIMB.replace("{cell}", str(CELL)), leaves=placed, nodes=bounded(nodes, nodes.count(), 224))
+        steps = spark.sql(CLIMB.replace("{cell}", str(CELL)), leaves=placed, nodes=nodes)
         links = F.transform(F.array_sort(F.collect_list(F.when(F.col("level") > 0, F.struct("level", "link")))), lambda x: x["link"])
         proof = F.aggregate(links, F.unhex(F.lit("")), lambda t, x: F.concat(t, x))
         only = lambda c: F.max(c).alias(c)
-        found = steps.groupBy("rank", "i").agg(only("doc_id"), only("leaf"), only("subroot"), proof.alias("proof"), F.max_by("fold", "level").alias("folded"))
+        found = steps.groupBy("rank", "i").agg(only("doc_id"), only("leaf"), only("subroot"), proof.alias("proof"), only("folded"))
         found = found.drop("rank", "i")
         return written(found, path) if path else materialize(found, "merkle-climbed")
     finally:
