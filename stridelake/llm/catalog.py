@@ -10,6 +10,7 @@ from stridelake.llm.line_rules import op8_line_rules
 from stridelake.llm.merkle import ORACLE_SQL as MERKLE_SQL
 from stridelake.llm.merkle import op11_merkle
 from stridelake.llm.packing import op7_packing
+from stridelake.llm.periodic import op13_periodic
 from stridelake.llm.quality_eb import op9_quality_eb
 from stridelake.llm.simhash import op10_simhash
 from stridelake.llm.suffix_dedup import op1_suffix_dedup
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_quality_eb": op9_quality_eb,
         "op10_simhash": op10_simhash,
         "op11_merkle": op11_merkle,
+        "op13_periodic": op13_periodic,
     }
 
 
