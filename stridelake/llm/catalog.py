@@ -16,6 +16,7 @@ from stridelake.llm.simhash import op10_simhash
 from stridelake.llm.suffix_dedup import op1_suffix_dedup
 from stridelake.llm.surrogates import op5_surrogates
 from stridelake.llm.warc import op2_warc
+from stridelake.llm.winnowing import op12_winnowing
 
 
 def queries() -> dict:
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op9_quality_eb": op9_quality_eb,
         "op10_simhash": op10_simhash,
         "op11_merkle": op11_merkle,
+        "op12_winnowing": op12_winnowing,
         "op13_periodic": op13_periodic,
     }
 
