@@ -113,6 +113,16 @@ def wide_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.first("n_people").alias("n_people"), F.map_from_entries(F.collect_list(point(("x3", "y3", "z3"), "xyz"))).alias("p3"), F.map_from_entries(F.collect_list(point(("x2", "y2", "v2"), ("x", "y", "visibility")))).alias("p2"))
 
 
+def live_pose(spark: SparkSession, sf_dir: str, chunks: int) -> DataFrame:
+    """Wide frames with the time they come: clips begin two seconds apart and run
+    at 30 frames a second; ``chunk`` numbers equal spans of time."""
+    second = F.col("clip_id") * 2 + F.col("frame_idx") / 30.0
+    rows = wide_pose(spark, sf_dir).withColumn("ts", F.timestamp_millis((1_700_000_000_000 + F.round(second * 1000)).cast("long")))
+    clip = table(spark, sf_dir, "events").agg(F.min("user_id").alias("a"), F.max("user_id").alias("b")).first()
+    low, high = 2 * (clip["a"] or 0), 2 * (clip["b"] or 0) + 60
+    return rows.withColumn("chunk", F.least(F.floor((second - low) * chunks / (high - low)), F.lit(chunks - 1)))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("weighted"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("weighted", F.lit(0.0), lambda t, v: t + v * v)))

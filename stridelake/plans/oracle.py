@@ -253,4 +253,5 @@ ORACLE: dict[str, str] = {
     "confidence_tiers": sql(_MATCHED, "select case when confidence >= 80 then 'High' when confidence >= 50 then 'Medium' else 'Low' end as tier, count(*) as clips from matched group by 1"),
     "phase_labels": sql(_EV, "select wr.clip_id, wr.f::int as f, case when wr.f < d then 'Setup' when wr.f = d then 'Dip' when wr.f < r then 'Drive' when wr.f = r then 'Release' else 'Follow-through' end as phase from wr join ev on ev.clip_id = wr.clip_id where wr.n >= 5"),
     "key_frames": sql(_EV, "select act.clip_id, key, case when key = 'release' then arg_min(f, struct_pack(a := round(y2, 6), b := f)) else arg_min(f, struct_pack(a := -round(y2, 6), b := f)) end::int as f from act join sides using (clip_id) join (values ('dip', 'wrist'), ('release', 'wrist'), ('bend', 'knee')) as t(key, joint) using (joint) where n >= 5 group by act.clip_id, key"),
+    "stream_metrics": sql(_MATCHED, f"select m.clip_id, c.total_frames as frames, status, {', '.join(NAMES)}, people::int as people, len(warnings)::int as n_warnings, quality_score, quality_label, match_id, match_name, round(match_cosine, 5) as match_cosine, round(match_l2, 5) as match_l2, {_tier('match_cosine')} as tier_cosine, {_tier('match_l2')} as tier_l2, confidence from matched m join clips c using (clip_id)"),
 }
