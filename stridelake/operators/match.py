@@ -1,9 +1,4 @@
-"""Nearest reference athletes, tiers, gaps and confidence.
-
-A reference set is held as hashed blocks of bounded rows.  Up to a checked size
-they are broadcast; beyond, queries meet them in a partitioned join.  Each query
-keeps its best few of every block, and the best of these are its answer.
-"""
+"""Nearest reference athletes, tiers, gaps and confidence."""
 
 from __future__ import annotations
 
@@ -13,16 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import zero_is_missing
+from stridelake.operators.neighbours import search
 from stridelake.sources import settled
 
-#: Reference rows, and bytes of their vectors, up to which an exact search
-#: broadcasts them.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
-#: Expected reference rows of a block, and parts of the queries that each meet
-#: a copy of it where blocks are not broadcast.
-BLOCK_ROWS = 4096
-QUERY_PARTS = 16
 NO_MATCH, NO_DISTANCE, NO_CONFIDENCE = "—", 999.0, 88.5
 # Upper bounds of the tiers and their labels.
 TIERS = [(40, "$1.2M - Elite Tier"), (100, "$450k - D1 Prospect"), (200, "$180k - High School Elite"), (350, "$45k - Developmental")]
@@ -33,55 +21,19 @@ STATS = [("release_velocity", 0, 7.0, 2), ("shot_arc", 1, 45.0, 1), ("knee_angle
 GAPS = [("arc_gap", "shot_arc", "shot_arc_deg", 45.0, 1), ("vel_gap", "release_velocity", "release_velocity_mps", 7.0, 2), ("knee_gap", "knee_angle", "knee_angle", 150.0, 1), ("elbow_gap", "elbow_angle", "elbow_angle", 165.0, 1), ("fluid_gap", "fluidity_score", "fluidity_score", 80.0, 1), ("hip_gap", "hip_rotation_deg", "hip_rotation_deg", 5.0, 1), ("ksync_gap", "kinetic_sync_ms", "kinetic_sync_ms", 15.0, 1), ("bal_gap", "balance_index", "balance_index", 80.0, 1)]
 
 
-def distance(kind: str, a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    if kind == "cosine":
-        dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-        return 1 - dot / (norm_a * norm_b)
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
-
-
-def _met(queries: DataFrame, index: DataFrame, query_id: str) -> tuple[DataFrame, int]:
-    """Each query with each block of the index (``refs``), and the number of
-    blocks."""
-    refs = index.where("norm > 0")
-    size = refs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("weighted")), F.lit(0)).alias("v")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
-    packed = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", "weighted", "norm").alias("r")).groupBy("block").agg(F.collect_list("r").alias("refs"))
-    rows = queries.select(F.col(query_id), "weighted", "norm")
-    if size["n"] <= BROADCAST_ROWS and 8 * size["v"] + 64 * size["n"] <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(packed)), blocks
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(query_id), F.lit(QUERY_PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return rows.join(packed, ["block", "part"]), blocks
-
-
-def _scored(kind: str):
-    """The block's rows as ``distance, id``."""
-    return F.transform("refs", lambda r: F.struct(distance(kind, F.col("weighted"), r["weighted"], F.col("norm"), r["norm"]).alias("distance"), r["id"].alias("id")))
-
-
 def nearest(queries: DataFrame, index: DataFrame, kind: str = "cosine", k: int = 1, query_id: str = "clip_id") -> DataFrame:
     """``query_id, rank, id, distance``: the ``k`` nearest rows of ``index(id,
     weighted, norm)`` for each of ``queries(query_id, weighted, norm)``; equal
     distances go by id.  Exact for an index of any size; query ids are distinct."""
-    met, blocks = _met(queries, index, query_id)
-    # Each query's candidates are scored and cut to k inside its own row.
-    best = F.array_compact(F.array(F.array_min(_scored(kind)))) if k == 1 else F.slice(F.array_sort(_scored(kind)), 1, k)
-    found = met.select(query_id, F.posexplode(best).alias("rank", "b"))
-    if blocks == 1:
-        return found.select(query_id, (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
-    if k == 1:
-        return found.groupBy(query_id).agg(F.min("b").alias("b")).select(query_id, F.lit(1).alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
-    return top_k(found.select(query_id, F.col("b.id").alias("id"), F.col("b.distance").alias("distance")), "distance", k, query_id).select(query_id, "rank", "id", "distance")
+    return search(queries, index, kind, k, query_id).drop("compared")
 
 
 def nearest_by_each(queries: DataFrame, index: DataFrame, query_id: str = "clip_id") -> DataFrame:
     """``query_id, id, cosine, l2``: the nearest row by cosine with its
-    distance, and the least L2 distance, in one pass over the index."""
-    met, _ = _met(queries, index, query_id)
-    both = met.select(query_id, F.array_min(_scored("cosine")).alias("c"), F.array_min(_scored("l2")).alias("l"))
-    best = both.groupBy(query_id).agg(F.min("c").alias("c"), F.min("l").alias("l"))
-    return best.select(query_id, F.col("c.id").alias("id"), F.col("c.distance").alias("cosine"), F.col("l.distance").alias("l2"))
+    distance, and the least L2 distance."""
+    by = lambda kind: nearest(queries, index, kind, 1, query_id)
+    far = by("l2").select(query_id, F.col("distance").alias("l2"))
+    return by("cosine").select(query_id, "id", F.col("distance").alias("cosine")).join(far, query_id)
 
 
 def without_self(found: DataFrame, k: int, query_id: str) -> DataFrame:
