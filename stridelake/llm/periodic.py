@@ -172,13 +172,16 @@ def tiles(texts: DataFrame) -> DataFrame:
     """``texts(doc_id, h, words)`` as tiles ``doc_id, h, low, high, at, words``: words
     from ``at`` on, joined, and the periods to look for in them."""
     sizes = ", ".join(f"{TILE * LOW_OCTAVE << b}L" for b in range(40))
-    rows = texts.withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS).withColumn("last", F.expr(f"size(filter(array({sizes}), x -> x < n))"))
+    rows = texts.withColumn("n", F.size("words")).withColumn("last", F.expr(f"size(filter(array({sizes}), x -> x < n))"))
     octave = f"(shiftleft({LOW_OCTAVE}L, b))"
     count = f"if(b = last, 0L, (n - {TILE - STRIDE} * {octave} - 1) div ({STRIDE} * {octave}))"
     tile = f"""struct(if(b = 0, 1L, {octave}) as low, if(b = last, n div {MIN_REPEATS} + 1L, 2 * {octave}) as high, k * {STRIDE} * {octave} as at,
         array_join(slice(words, int(k * {STRIDE} * {octave} + 1), int(least({TILE} * {octave}, n))), ' ') as words)"""
-    every = F.expr(f"flatten(transform(sequence(0, last), b -> transform(sequence(0L, {count}), k -> {tile})))")
-    return rows.select("doc_id", "h", every.alias("tiles")).select("doc_id", "h", F.explode("tiles").alias("t")).select("doc_id", "h", "t.*")
+    every = F.expr(f"if(n < {MIN_WORDS}, null, flatten(transform(sequence(0, last), b -> transform(sequence(0L, {count}), k -> {tile}))))")
+    # An outer explode, as Spark would filter the others on the tiles, and make
+    # them twice; the rows without a tile go by their null.
+    each = rows.select("doc_id", "h", every.alias("tiles")).select("doc_id", "h", F.explode_outer("tiles").alias("t"))
+    return each.where("t is not null").select("doc_id", "h", "t.*")
 
 
 def stitched(found: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def planted(words: str, doc_id: str) -> Column:
     a = f"({g} % {n})"
     p = f"(1 + ({n} - {a}) div (3 + {g} % 8))"
     return F.expr(f"""if({h} % 10 = 0 and {n} > 0,
-        transform(array(struct(int({a}) as a, int({p}) as p)), k -> transform({words}, (word, i) -> if(i < k.a, word, get({words}, k.a + (i - k.a) % k.p))))[0], {words})""")
+        transform(array(struct(int({a}) as a, int({p}) as p, {words} as ws)), k -> transform(k.ws, (word, i) -> if(i < k.a, word, get(k.ws, k.a + (i - k.a) % k.p))))[0], {words})""")
 
 
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
