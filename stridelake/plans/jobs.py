@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.functions import angle
-from stridelake.operators import drift, match, metrics, reference, report, series, studies
+from stridelake.operators import drift, ivf, match, metrics, reference, report, series, studies
 from stridelake.plans import fixtures
 from stridelake.sources import METRICS, melt_pose, or_else, overwrite, read_baselines, read_box_scores, read_pose_frames, seed_table, settled, shared_folder, sport_metrics, sports, table, write_baselines
 
@@ -286,6 +286,15 @@ def nn_lsh(spark, d):
     return match.nearest_lsh(q, i, "vec_id", leave_out_self=True)
 
 
+@query
+def nn_ivf(spark, d):
+    """The same searches by a written inverted-file index of all rows."""
+    q, i = fixtures.all_vectors(spark, d)
+    path = shared_folder(spark)
+    ivf.write_index(i, path)
+    return rounded(ivf.probe(q, path, 1, "vec_id", leave_out_self=True).select("vec_id", "id", "distance"))
+
+
 @query
 def match_confidence_tier(spark, d):
     return rounded(matched(spark, d).select("clip_id", "match_id", "match_name", "match_cosine", "match_l2", "tier_cosine", "tier_l2", "base_confidence", "confidence"), 5)
