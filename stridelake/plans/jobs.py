@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.functions import angle
-from stridelake.operators import drift, ivf, match, metrics, reference, report, series, studies
+from stridelake.operators import drift, ivf, match, metrics, reference, report, series, shots, studies
 from stridelake.plans import fixtures
 from stridelake.sources import METRICS, melt_pose, or_else, overwrite, read_baselines, read_box_scores, read_pose_frames, seed_table, settled, shared_folder, sport_metrics, sports, table, write_baselines
 
@@ -387,6 +387,28 @@ def shot_segments(spark, d):
     return studies.shot_segments(_wrist(spark, d).withColumn("y", F.round("y", 6)))
 
 
+@query
+def shot_releases(spark, d):
+    """Shots of every clip by prominent releases."""
+    rows = sided(spark, d).where("n >= 5").select("clip_id", "fps", F.transform(F.col("wrist")["y2"], lambda v: F.round(v, 6)).alias("y"))
+    found = shots.segments(settled(shots.releases(rows)))
+    return rounded(found.select("clip_id", "shot", "first_f", "last_f", "release_f", "prominence"), 6)
+
+
+@query
+def shot_metrics(spark, d):
+    """The metrics of every shot of every clip."""
+    found = settled(shots.per_shot(settled(_even_wrist(sided(spark, d)))))
+    return rounded(found.select("clip_id", "shot", "first_f", "last_f", "side", "dip", "release", "raw_knee", "raw_elbow", "velocity", "arc", "hip_rotation", "sync", "balance", "fluidity"), 4)
+
+
+def _even_wrist(rows):
+    """Wrist heights to six places, so that engines agree on equal ones."""
+    even = lambda s: s.withField("y2", F.transform(s["y2"], lambda v: F.round(v, 6)))
+    ch = F.transform_values("ch", lambda k, v: F.when(k.endswith("_wrist"), even(v)).otherwise(v))
+    return rows.withColumn("ch", ch).withColumn("wrist", even(F.col("wrist")))
+
+
 @query
 def subject_rank(spark, d):
     rows = fixtures.frames(spark, d).select("clip_id", F.col("e").alias("subject"), (F.col("k") / 100.0).alias("size"), ((F.col("e") % 101) / 100.0).alias("centre_x"))

@@ -6,6 +6,8 @@ derived views, filled and smoothed channels in long form, events, metrics.
 
 from __future__ import annotations
 
+import re
+
 from stridelake.plans import fixtures as X
 from stridelake.sources import SEED_ROWS
 
@@ -195,6 +197,33 @@ _GAPS = [("arc_gap", "round(v1, 1)", "shot_arc_deg", 45, 1), ("vel_gap", "round(
 _RUNS = "runs as (select *, clip_id % 10 as cohort, clip_id // 10 as day from rec)"
 _FEEDBACK = "case when clip_id % 3 = 0 then 'list' when clip_id % 3 = 1 then 'text' end"
 
+# Releases: the rise to the lower of both sides' highest points, each up to a lower one.
+_SHOTS = """
+wy as (select clip_id, f, n, fps, round(y2, 6) as y from wr where n >= 5),
+lowest as (select clip_id, f, n, fps, y from (select *, lag(y) over k as p, lead(y) over k as q from wy window k as (partition by clip_id order by f)) where y < p and y <= q),
+stop_l as (select m.clip_id, m.f, max(o.f) as k from lowest m join wy o on o.clip_id = m.clip_id and o.f < m.f and o.y <= m.y group by all),
+stop_r as (select m.clip_id, m.f, min(o.f) as k from lowest m join wy o on o.clip_id = m.clip_id and o.f > m.f and o.y < m.y group by all),
+tops as (select m.clip_id, m.f, m.y, any_value(m.fps) as fps, max(case when o.f < m.f then o.y end) as l, max(case when o.f > m.f then o.y end) as r
+  from lowest m left join stop_l using (clip_id, f) left join stop_r using (clip_id, f) join wy o on o.clip_id = m.clip_id and o.f > coalesce(stop_l.k, -1) and o.f < coalesce(stop_r.k, 1000000) group by m.clip_id, m.f, m.y),
+prom as (select clip_id, f, y, fps, least(l, r) - y as prominence from tops where least(l, r) - y >= 0.08e0),
+rel as (select * from prom p where not exists (select 1 from prom o where o.clip_id = p.clip_id and o.f <> p.f and abs(o.f - p.f) < 0.25e0 * p.fps and (o.y < p.y or (o.y = p.y and o.f < p.f)))),
+relk as (select *, row_number() over (partition by clip_id order by f) - 1 as shot, lag(f) over (partition by clip_id order by f) as before from rel),
+begins as (select r.clip_id, r.shot, r.f, r.prominence, case when before is null then 0 else (select arg_min(w.f, struct_pack(a := -w.y, b := w.f)) from wy w where w.clip_id = r.clip_id and w.f >= r.before and w.f < r.f) end as first_f from relk r),
+whole as (select c.clip_id, c.n, coalesce(b.shot, 0) as shot, coalesce(b.first_f, 0) as first_f, b.f as release_f, b.prominence from (select distinct clip_id, n from wy) c left join begins b using (clip_id)),
+seg as (select clip_id, shot, first_f::int as first_f, (coalesce(lead(first_f) over (partition by clip_id order by shot), n) - 1)::int as last_f, release_f::int as release_f, prominence from whole)"""
+# Each segment as a clip of its own.
+_CUT = """
+seg_bounds as (select clip_id * 100000 + shot as clip_id, b.fps, b.width, b.height, b.ar from seg join bounds b using (clip_id) where last_f - first_f >= 4),
+seg_sm as (select clip_id * 100000 + shot as clip_id, side, joint, (last_f - first_f + 1)::bigint as n, f - first_f as f, x2, case when joint = 'wrist' then round(y2, 6) else y2 end as y2, v2, x3, y3, z3 from sm join seg using (clip_id) where f between first_f and last_f and last_f - first_f >= 4)"""
+
+
+def _again(*ctes: str) -> str:
+    """These steps once more on segments, under names with ``seg_`` before them."""
+    text = ",".join(ctes)
+    names = {*re.findall(r"^([a-z_0-9]+) as (?:materialized )?\(", text, re.M), "sm", "bounds"}
+    return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", r"seg_\1", text)
+
+
 ORACLE: dict[str, str] = {
     "pose_scan": sql(",".join((X.BASE, X.POSE)), f"select clip_id, f, n_people, side, joint, {_r(' '.join(AXES))} from pose_all"),
     "box_scan": sql(",".join((X.BOX, CLEAN_BOX, PROS)), "select id, name, player_id, v0, v1, v2, v3, v4, v5, v6, v7 from refs"),
@@ -241,6 +270,8 @@ ORACLE: dict[str, str] = {
     "sport_lookup": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, {_SPORT} as sport, case {_SPORT} when 'tennis' then 'Tennis' else 'Basketball' end as name, case {_SPORT} when 'tennis' then 3e0 else 2e0 end as min_clip_sec, (case {_SPORT} when 'tennis' then 4 else 5 end)::int as phases from clips"),
     "sport_metrics_listing": sql(",".join((X.BASE, X.CLIPS)), f"select t.sport, t.name, t.m::bigint as metrics, t.m > 0 as available, coalesce(c.n, 0)::bigint as clips from (values ('basketball', 'Basketball', 8), ('tennis', 'Tennis', 0), ('golf', 'Golf', 0)) as t(sport, name, m) left join (select {_SPORT} as sport, count(*) as n from clips group by 1) c on c.sport = t.sport"),
     "shot_segments": sql(_EV, "select clip_id, shot, min(f)::int as first_f, max(f)::int as last_f, max(case when hit = 1 then f end)::int as release_f from (select clip_id, f, hit, coalesce(sum(hit) over (partition by clip_id order by f rows between unbounded preceding and 1 preceding), 0)::bigint as shot from (select clip_id, f, case when round(y2, 6) < lag(round(y2, 6)) over k and round(y2, 6) <= lead(round(y2, 6)) over k then 1 when lag(y2) over k is null or lead(y2) over k is null then 0 else 0 end as hit from wr where n >= 5 window k as (partition by clip_id order by f))) group by clip_id, shot"),
+    "shot_releases": sql(",".join((_EV, _SHOTS)), "select clip_id, shot::int as shot, first_f, last_f, release_f, round(prominence, 6) as prominence from seg"),
+    "shot_metrics": sql(",".join((_EV, _SHOTS, _CUT, _again(EVENTS, METRICS))), "select s.clip_id, s.shot::int as shot, first_f, last_f, d.side, r.d::int as dip, r.r::int as release, round(raw_knee, 4) as raw_knee, round(raw_elbow, 4) as raw_elbow, round(velocity, 4) as velocity, round(arc, 4) as arc, round(hip_rotation, 4) as hip_rotation, round(sync, 4) as sync, balance, fluidity from seg_raw r join seg s on r.clip_id = s.clip_id * 100000 + s.shot join seg_sides d on d.clip_id = r.clip_id"),
     "subject_rank": sql(X.BASE, "select clip_id, subject, size, centre_x, round(score, 7) as score from (select *, row_number() over (partition by clip_id order by score desc, subject) as place from (select clip_id, e as subject, k / 100e0 as size, (e % 101) / 100e0 as centre_x, k / 100e0 * (1 - 2 * abs((e % 101) / 100e0 - 0.5e0)) as score from wave)) where place = 1"),
     "angle_jumps": sql(",".join((_EV, _KNEE)), "select clip_id, f::int as f, round(angle, 5) as angle, round(jump, 5) as jump from (select *, abs(angle - lag(angle) over (partition by clip_id order by f)) as jump from ang) where jump > 15"),
     "run_stddev": sql(",".join((_REC, _RUNS)), f"select cohort, count(*) as runs, {', '.join(f'round(stddev_pop(cast({m} as double)), 6) as {m}' for m in NAMES)} from runs group by cohort"),
