@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.functions import angle
-from stridelake.operators import drift, ivf, match, metrics, reference, report, series, shots, studies
+from stridelake.operators import drift, ivf, match, metrics, reference, report, rules, series, shots, studies
 from stridelake.plans import fixtures
 from stridelake.sources import METRICS, melt_pose, or_else, overwrite, read_baselines, read_box_scores, read_pose_frames, seed_table, settled, shared_folder, sport_metrics, sports, table, write_baselines
 
@@ -486,6 +486,12 @@ def key_frames(spark, d):
     return studies.key_frames(long.withColumn("v", F.round("v", 6)), rules)
 
 
+@query
+def sport_rules(spark, d):
+    """Events and metrics of every clip by its sport's configuration."""
+    return rules.judge(_with_sport(sided(spark, d).where("n >= 5")))
+
+
 @query
 def stream_clips(spark, d):
     from stridelake.streaming.clips import replay

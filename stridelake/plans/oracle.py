@@ -197,6 +197,24 @@ _GAPS = [("arc_gap", "round(v1, 1)", "shot_arc_deg", 45, 1), ("vel_gap", "round(
 _RUNS = "runs as (select *, clip_id % 10 as cohort, clip_id // 10 as day from rec)"
 _FEEDBACK = "case when clip_id % 3 = 0 then 'list' when clip_id % 3 = 1 then 'text' end"
 
+# Sports by rules: events first, then what is read at them.
+_ELBOW = f"elb as (select elbow.clip_id, elbow.f, {_ang('shoulder', 'elbow', 'wrist')} as angle from act elbow join act shoulder on shoulder.clip_id = elbow.clip_id and shoulder.f = elbow.f and shoulder.joint = 'shoulder' join act wrist on wrist.clip_id = elbow.clip_id and wrist.f = elbow.f and wrist.joint = 'wrist' join sides on sides.clip_id = elbow.clip_id where elbow.joint = 'elbow' and n >= 5)"
+_RULES = f"""
+ch0 as (select wr.clip_id, wr.f, wr.n, wr.fps, {_SPORT.replace('clip_id', 'wr.clip_id')} as sport, round(wr.y2, 6) as wrist, round(ang.angle, 6) as knee, round(elb.angle, 6) as elbow from wr join ang using (clip_id, f) join elb using (clip_id, f)),
+ch as materialized (select *, round(abs(elbow - coalesce(lag(elbow) over (partition by clip_id order by f), elbow)) * fps, 6) as speed from ch0),
+one as (select clip_id, any_value(sport) as sport, any_value(fps) as fps, arg_max(f, struct_pack(a := wrist, b := -f)) as dip, arg_min(f, struct_pack(a := knee, b := f)) as trophy from ch group by clip_id),
+two as (select one.clip_id, any_value(one.sport) as sport, any_value(one.fps) as fps, any_value(dip) as dip, any_value(trophy) as trophy,
+  arg_min(f, struct_pack(a := wrist, b := f)) filter (f > dip and f <= dip + trunc(one.fps * 1.5e0)) as release, arg_max(f, struct_pack(a := speed, b := -f)) filter (f > trophy) as contact from one join ch using (clip_id) group by one.clip_id),
+held as (select two.*, k.knee as knee_dip, e.elbow as elbow_release, t.knee as knee_trophy, c.speed as speed_contact, (select max(wrist) - min(wrist) from ch where ch.clip_id = two.clip_id and ch.f between trophy and contact) as reach
+  from two left join ch k on k.clip_id = two.clip_id and k.f = dip left join ch e on e.clip_id = two.clip_id and e.f = release left join ch t on t.clip_id = two.clip_id and t.f = trophy left join ch c on c.clip_id = two.clip_id and c.f = contact)"""
+_RULE_ROWS = " union all ".join(
+    f"select clip_id, sport, '{kind}' as kind, '{name}' as name, ({value})::double as value from held where (sport = 'tennis') = {tennis}"
+    for tennis, kind, name, value in [
+        ("false", "event", "dip", "dip"), ("false", "event", "release", "release"), ("false", "metric", "knee_at_dip", "round(knee_dip, 1)"), ("false", "metric", "elbow_at_release", "round(elbow_release, 1)"), ("false", "metric", "lift_ms", "round(round((release - dip) / fps * 1000, 6), 1)"),
+        ("true", "event", "trophy", "trophy"), ("true", "event", "contact", "contact"), ("true", "metric", "knee_at_trophy", "round(knee_trophy, 1)"), ("true", "metric", "elbow_speed_at_contact", "round(speed_contact, 1)"), ("true", "metric", "swing_ms", "round(round((contact - trophy) / fps * 1000, 6), 1)"), ("true", "metric", "reach", "round(round(reach, 6), 4)"),
+    ]
+)
+
 # Releases: the rise to the lower of both sides' highest points, each up to a lower one.
 _SHOTS = """
 wy as (select clip_id, f, n, fps, round(y2, 6) as y from wr where n >= 5),
@@ -270,6 +288,7 @@ ORACLE: dict[str, str] = {
     "sport_lookup": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, {_SPORT} as sport, case {_SPORT} when 'tennis' then 'Tennis' else 'Basketball' end as name, case {_SPORT} when 'tennis' then 3e0 else 2e0 end as min_clip_sec, (case {_SPORT} when 'tennis' then 4 else 5 end)::int as phases from clips"),
     "sport_metrics_listing": sql(",".join((X.BASE, X.CLIPS)), f"select t.sport, t.name, t.m::bigint as metrics, t.m > 0 as available, coalesce(c.n, 0)::bigint as clips from (values ('basketball', 'Basketball', 8), ('tennis', 'Tennis', 0), ('golf', 'Golf', 0)) as t(sport, name, m) left join (select {_SPORT} as sport, count(*) as n from clips group by 1) c on c.sport = t.sport"),
     "shot_segments": sql(_EV, "select clip_id, shot, min(f)::int as first_f, max(f)::int as last_f, max(case when hit = 1 then f end)::int as release_f from (select clip_id, f, hit, coalesce(sum(hit) over (partition by clip_id order by f rows between unbounded preceding and 1 preceding), 0)::bigint as shot from (select clip_id, f, case when round(y2, 6) < lag(round(y2, 6)) over k and round(y2, 6) <= lead(round(y2, 6)) over k then 1 when lag(y2) over k is null or lead(y2) over k is null then 0 else 0 end as hit from wr where n >= 5 window k as (partition by clip_id order by f))) group by clip_id, shot"),
+    "sport_rules": sql(",".join((_EV, _KNEE, _ELBOW, _RULES)), f"select * from ({_RULE_ROWS})"),
     "shot_releases": sql(",".join((_EV, _SHOTS)), "select clip_id, shot::int as shot, first_f, last_f, release_f, round(prominence, 6) as prominence from seg"),
     "shot_metrics": sql(",".join((_EV, _SHOTS, _CUT, _again(EVENTS, METRICS))), "select s.clip_id, s.shot::int as shot, first_f, last_f, d.side, r.d::int as dip, r.r::int as release, round(raw_knee, 4) as raw_knee, round(raw_elbow, 4) as raw_elbow, round(velocity, 4) as velocity, round(arc, 4) as arc, round(hip_rotation, 4) as hip_rotation, round(sync, 4) as sync, balance, fluidity from seg_raw r join seg s on r.clip_id = s.clip_id * 100000 + s.shot join seg_sides d on d.clip_id = r.clip_id"),
     "subject_rank": sql(X.BASE, "select clip_id, subject, size, centre_x, round(score, 7) as score from (select *, row_number() over (partition by clip_id order by score desc, subject) as place from (select clip_id, e as subject, k / 100e0 as size, (e % 101) / 100e0 as centre_x, k / 100e0 * (1 - 2 * abs((e % 101) / 100e0 - 0.5e0)) as score from wave)) where place = 1"),
