@@ -363,11 +363,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     may overlap.  A written table."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), _text().alias("text"), *[k.alias(f"k{i + 1}") for i, k in enumerate(_keys())])
     texts = texts.where(F.octet_length("text") >= WINDOW)
-    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("d").alias("rep"), F.max(F.octet_length("text")).alias("size")).where("c > 1").drop("c")
-    copies = materialize(copies, "copies")
+    groups = texts.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("d").alias("rep"), F.max(F.octet_length("text")).alias("size"))
+    copies = materialize(groups.where("c > 1").drop("c"), "copies")
+    # One of each group of equal texts meets the others.
     if copies.count() * 48 <= BROADCAST_BYTES:
-        # One of each group of equal texts meets the others.
         texts = texts.join(F.broadcast(copies.select("k1", "k2", "rep")), ["k1", "k2"], "left").where("rep is null or rep = d")
+    else:
+        # Joined by the row's own id too, so that a group's copies do not meet.
+        own = materialize(groups.select("k1", "k2", F.col("rep").alias("d")), "first-of-equals")
+        texts = texts.join(own, ["k1", "k2", "d"], "left_semi")
     with small_batches(docs.sparkSession), scratch(docs.sparkSession) as result:
         shared = materialize(gram_counts(texts).where("c > 1").select("h"), "grams")
         known = known_grams(shared)
@@ -389,7 +393,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
         met = rows.join(found, _NAME).select("k1", "k2", "p", "lo", "hi").mapInArrow(placed, "k1 long, k2 long, ranges array<struct<start:long,stop:long>>")
         whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("ranges"))
-        return written(met.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), result)
+        # Rows that repeat with their id send the same ranges: each is kept once.
+        different = met.unionByName(whole).select("k1", "k2", F.explode("ranges").alias("range")).distinct()
+        return written(different.groupBy("k1", "k2").agg(F.collect_list("range").alias("ranges")), result)
 
 
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

@@ -128,3 +128,16 @@ def test_dedup_with_clashing_columns(spark):
     out = S.dedup(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
     assert sorted(out.collect()) == [(1, "1", 1, "a", None), (2, "2", 2, "b", 3.5)]
+
+
+def test_many_copies_keep_one_range_list_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("stridelake.llm.common.BROADCAST_BYTES", 0)
+    rng = random.Random(8)
+    often, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (900, 500))
+    texts = [often] * 10_000 + [other + often[100:600], other, other]
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in enumerate(texts)], DOCS).repartition(4)
+    rows = S.repeated_ranges(docs).collect()
+    assert len(rows) == 3 and all(len(r.ranges) <= 8 for r in rows)
+    got = {(r.n_removed, r.n_spans) for r in S.digest(docs.where("doc_id >= 9990")).collect()}
+    assert got == {(900, 1), (1000, 1), (500, 1)}
