@@ -13,7 +13,8 @@ smallest doc_id stays.  Very long texts are treated whole and cut into pieces of
 quality stage goes by the labelled rate alone (none: everything stays).
 
 A stage deletes the intermediate tables of the one before it: a result must be
-written before the next stage is called.
+written before the next stage is called for the same folder.  The last stage's
+tables stay, so results of several runs can be read in any order.
 """
 
 from __future__ import annotations
@@ -39,51 +40,59 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
-#: Intermediate tables of the last stage that was called.
-_left: list[str] = []
+#: Intermediate tables that each stage but the last left, by stage and folder.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
-def _stage(work):
-    """A stage whose predecessor's intermediate tables go first: its result is
-    written by then."""
+def _stage(number: int):
+    """A stage that deletes its predecessor's intermediate tables for the same
+    folder: that result is written by then.  Those of the last stage stay, as its
+    result reads them for as long as somebody holds it."""
 
-    @wraps(work)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _left:
-            discard(spark, path)
-        before = scratch_paths()
-        out = work(spark, docs, sf_dir)
-        _left[:] = [path for path in scratch_paths() if path not in before]
-        return out
+    def wrap(work):
+        @wraps(work)
+        def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for path in _left.pop((number - 1, sf_dir), ()):
+                discard(spark, path)
+            before = scratch_paths()
+            out = work(spark, docs, sf_dir)
+            if number < LAST:
+                _left[number, sf_dir] = [path for path in scratch_paths() if path not in before]
+            return out
 
-    return stage
+        return stage
 
+    return wrap
 
-@_stage
+
+LAST = 5
+
+
+@_stage(1)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     return quality_eb.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_stage
+@_stage(2)
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
-@_stage
+@_stage(3)
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated passages cover."""
     return _resized(suffix_dedup.dedup(docs))
 
 
-@_stage
+@_stage(4)
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in place of personal data."""
     return _resized(surrogates.replace(docs))
 
 
-@_stage
+@_stage(5)
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces, with their ids and places in the training sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)

@@ -372,7 +372,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Rows that share a pair of least shingle hashes and whose wide fingerprints,
     compared bit-sliced, are not too far apart make coarse components; inside
     these the distinct shingles of the rows are compared exactly.  At 0.8 about
-    one link in a million shares none of the ``BANDS`` pairs.
+    one link in a million shares none of the ``BANDS`` pairs.  Rows are one node where
+    128 bits over their distinct shingles agree; nodes are numbered, not hashed.
 
     Null and blank texts have one common shingle and are copies of each other;
     shorter texts than ``words`` have one shingle, all their words."""
@@ -385,19 +386,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             for x in batch.column(1):
                 own = shingles(x.as_py(), words)
                 made.append(wide_fingerprint(own))
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["doc_id", "h", "bits", "keys", "node"])
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(nodes, pa.binary())], names=["doc_id", "h", "bits", "keys", "own"])
 
     with small_batches(docs.sparkSession):
-        marked = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, bits array<long>, keys array<long>, node long"), "wide")
+        marked = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, bits array<long>, keys array<long>, own binary"), "wide")
         rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-        distinct = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), rep.alias("rep")), "wide-fp")
+        distinct = materialize(marked.groupBy("own").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), rep.alias("rep")).withColumn("node", F.monotonically_increasing_id()), "wide-fp")
         coarse = connected_components(compared(distinct.select("node", F.explode("keys").alias("g")), distinct.select("node", "bits"), radius))
         members = materialize(distinct.select("node", "bits", F.col("rep.doc_id").alias("doc"), F.col("rep.h").alias("h")).join(coarse, "node"), "members")
         found = connected_components(exact_links(docs, members, words, similarity, radius))
-    rooted = distinct.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    rooted = distinct.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("own", "least", F.coalesce("component", "node").alias("component"))
     named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(rooted.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "own").join(rooted.join(named, "component").select("own", "component_id"), "own").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -56,3 +56,10 @@ def test_edges_of_every_stage(spark, tmp_path):
         found = got.collect()
         assert {r.doc_id for r in found} == ({1, None, 3, 4} if table else set())
         assert all(len(r.ids) == r.length for r in found)
+
+
+def test_a_second_run_leaves_the_first_result(spark):
+    base = "/root/testdata/sf0.001"
+    one, two = corpus_pipeline.run(spark, base), corpus_pipeline.run(spark, base)
+    key = lambda df: sorted((r.doc_id, r.piece, r.length) for r in df.select("doc_id", "piece", "length").collect())
+    assert key(one) == key(two) and key(one)
