@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions import zero_is_missing
 from stridelake.operators.neighbours import search
+from stridelake.operators.reference import player_key
 from stridelake.sources import settled
 
 NO_MATCH, NO_DISTANCE, NO_CONFIDENCE = "—", 999.0, 88.5
@@ -84,7 +85,7 @@ def match_reference(clips: DataFrame, index: DataFrame) -> DataFrame:
     """Each clip with its nearest athlete by cosine (as built) and by L2 (as the
     tiers mean it), its tiers, and its confidence.  ``clips`` has the metrics,
     vectors, ``people`` and ``warnings``."""
-    facts = index.select("id", F.col("name").alias("match_name"), "player_id", F.col("raw").alias("match_raw"))
+    facts = index.select("id", F.col("name").alias("match_name"), player_key(index.columns).alias("player_id"), F.col("raw").alias("match_raw"))
     rows = clips.join(nearest_by_each(clips, index), "clip_id", "left").join(facts, "id", "left")
     base = F.coalesce(base_confidence(F.col("cosine")), F.lit(NO_CONFIDENCE))
     return rows.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.functions import clip
-from stridelake.sources import METRICS, WEIGHTS
+from stridelake.sources import METRICS, WEIGHTS, positions
 
 MIN_GAMES = 5
 #: What a missing statistic counts as, and the least it may be.
@@ -28,6 +28,26 @@ def cleaned(box: DataFrame, min_games: float = MIN_GAMES) -> DataFrame:
     return box.where(F.col("GP").cast("string").try_cast("double") >= min_games).withColumn("PLAYER_NAME", name).where(F.col("PLAYER_NAME").isNotNull() & ~F.col("PLAYER_NAME").isin("", "nan"))
 
 
+def completed(box: DataFrame, *order: str) -> DataFrame:
+    """A season table that lacks names, player ids or team ids gets them from the
+    rows' places in ``order``: ``Player_<place>``, and the place as id."""
+    wanted = {"PLAYER_NAME": F.concat(F.lit("Player_"), F.col("idx").cast("string")), "PLAYER_ID": F.col("idx"), "TEAM_ID": F.col("idx")}
+    missing = {c: v for c, v in wanted.items() if c not in box.columns}
+    return positions(box, *order).withColumns(missing).drop("idx") if missing else box
+
+
+def fallback_index(seeds: DataFrame, *order: str) -> DataFrame:
+    """The reference index of stand-in rows, under ids of their own:
+    ``fallback_<player id>_<place>``."""
+    return reference_index(positions(seeds, *order), F.concat_ws("_", F.lit("fallback"), "PLAYER_ID", "idx"))
+
+
+def player_key(columns: list[str]) -> Column:
+    """The player of an index row: its ``meta_id``, if it has one that is not zero,
+    or else its ``player_id``."""
+    return F.coalesce(F.nullif(F.col("meta_id"), F.lit(0)), F.col("player_id")) if "meta_id" in columns else F.col("player_id")
+
+
 def vectors(box: DataFrame) -> DataFrame:
     """``box`` with ``raw``, the vector in metric order."""
     rows = box.select("*", *[number(c).alias(f"_{c}") for c in DEFAULTS])

@@ -134,3 +134,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("clip_id") % 4 == 0, "").otherwise(F.concat(F.lit("Jump shot "), F.col("clip_id").cast("string")))
     body = F.concat(F.lit('{"athlete_action":"'), action, F.lit('"'), F.coalesce(F.concat(F.lit(',"athlete_feedback":'), feedback), F.lit("")), F.when(F.col("clip_id") % 5 == 0, F.lit("")).otherwise(F.lit(',"scout_report":"solid","witty_catchphrase":"swish"')), F.lit("}"))
     return clips(spark, sf_dir).select("clip_id", body.alias("body"))
+
+
+#: What the feedback of a report may be, by clip; it says of statistics what is not so.
+SHAPES = ['"keep going"', '""', "7.5", "0", "true", "false", "null", "[]", "{}", '{"tempo":"slow"}', '[{"timestamp":"0:01","category":"form","observation":"steady"}]', '["a word",{"category":"power"},3]', "[[1,2],null]"]
+
+
+def shaped_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report per clip with feedback of every shape; some bodies are no JSON."""
+    made = F.array(*[F.lit(s) for s in SHAPES])[(F.col("clip_id") % len(SHAPES)).cast("int")]
+    body = F.concat(F.lit('{"stats":{"knee_angle":1},"athlete_feedback":'), made, F.lit("}"))
+    return clips(spark, sf_dir).select("clip_id", F.when(F.col("clip_id") % 17 == 0, "no json {").when(F.col("clip_id") % 17 == 1, "[1]").otherwise(body).alias("body"))

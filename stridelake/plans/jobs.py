@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from stridelake.functions import angle
 from stridelake.operators import drift, ivf, match, metrics, reference, report, rules, series, shots, studies
+from stridelake.operators import runs as repeats
 from stridelake.plans import fixtures
+from stridelake.sources.published import latest, publish
 from stridelake.sources import METRICS, melt_pose, or_else, overwrite, read_baselines, read_box_scores, read_pose_frames, seed_table, settled, shared_folder, sport_metrics, sports, table, write_baselines
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,11 +100,12 @@ def box_scan(spark, d):
 
 @query
 def index_write(spark, d):
-    """The index written twice over the same place, and its row count."""
+    """The index published twice, the second in place of the first, and its row
+    count."""
     path = shared_folder(spark)
-    overwrite(index(spark, d), path)
-    there = overwrite(index(spark, d), path)
-    return there.agg(F.count("*").alias("entries"), F.countDistinct("id").alias("ids"))
+    for _ in range(2):
+        publish(index(spark, d), path, keep=1)
+    return latest(spark, path).agg(F.count("*").alias("entries"), F.countDistinct("id").alias("ids"))
 
 
 @query
@@ -319,6 +322,32 @@ def metric_deltas(spark, d):
     return match.gaps(match.match_stats(matched(spark, d))).select("clip_id", *[g[0] for g in match.GAPS])
 
 
+@query
+def completed_keys(spark, d):
+    """A season table without names and teams: both from the rows' places."""
+    box = reference.completed(fixtures.box(spark, d).drop("PLAYER_NAME", "TEAM_ID"), "PLAYER_ID")
+    rows = reference.reference_index(reference.cleaned(box))
+    return rows.select("id", "name", "player_id", *[F.col("raw")[k].alias(f"v{k}") for k in range(8)])
+
+
+@query
+def fallback_keys(spark, d):
+    """The index of a division with players, and of one without: the stand-ins under
+    their own ids."""
+    cols = ["id", "name", "player_id"]
+    there = reference.cleaned(fixtures.box(spark, d))
+    seeds = reference.fallback_index(seed_table(spark), "PLAYER_ID").select(*cols)
+    of = lambda rows, name: or_else(reference.reference_index(rows).select(*cols), seeds).withColumn("division", F.lit(name))
+    return of(there, "all").unionByName(of(there.where("TEAM_ID < 0"), "none"))
+
+
+@query
+def player_keys(spark, d):
+    """Players of an index whose rows have a second id, some of them null or zero."""
+    rows = index(spark, d).withColumn("meta_id", F.when(F.col("player_id") % 3 == 1, F.lit(0).cast("long")).when(F.col("player_id") % 3 == 2, F.col("player_id") + 1000))
+    return rows.select("id", reference.player_key(rows.columns).alias("player"))
+
+
 # -- reports and drift ---------------------------------------------------------------
 @query
 def report_normalise(spark, d):
@@ -326,6 +355,15 @@ def report_normalise(spark, d):
     return rows.select("clip_id", "athlete_action", "scout_report", "witty_catchphrase", F.size("athlete_feedback").alias("n_feedback"), F.get("athlete_feedback", F.lit(0))["category"].alias("first_category"), F.get("athlete_feedback", F.lit(0))["observation"].alias("first_observation"))
 
 
+@query
+def report_shapes(spark, d):
+    """Feedback of any shape, and statistics overwritten by the measurement."""
+    clips = matched(spark, d)
+    rows = report.measured(report.normalise(report.parse(fixtures.shaped_reports(spark, d))), clips)
+    said = F.array_join(F.transform("athlete_feedback", lambda f: F.concat_ws("|", F.coalesce(f["timestamp"], F.lit("-")), F.coalesce(f["category"], F.lit("-")), F.coalesce(f["observation"], F.lit("-")))), ";")
+    return rounded(rows.select("clip_id", F.size("athlete_feedback").alias("n_feedback"), said.alias("feedback"), "athlete_action", *[F.col(f"stats.{m}").alias(m) for m in (*METRICS, "market_index")]), 2)
+
+
 @query
 def report_payload(spark, d):
     return report.payload(match.gaps(match.match_stats(matched(spark, d))))
@@ -431,6 +469,22 @@ def run_stddev(spark, d):
     return studies.run_spread(runs(spark, d), ["cohort"])
 
 
+@query
+def run_repeat(spark, d):
+    """Two runs with the same parameters and one without smoothing, recorded one by
+    one: the spread of each clip's metrics over the first two, and over all."""
+    path = shared_folder(spark)
+    filled = settled(series.fill_gaps(ranged(spark, d)))
+    for number, smoothing in enumerate((True, True, False)):
+        channels = series.channel_arrays(filled) if smoothing else filled
+        clips = settled(metrics.shooting_side(series.clip_records(channels, bounds(spark, d))))
+        made = metrics.metric_record(metrics.measures(metrics.events(clips)))
+        repeats.record(made, path, {"smoothing": smoothing}, number)
+    rows = settled(repeats.recorded(spark, path))
+    same = repeats.spread(rows, "parameters").where("runs = 2").select("clip_id", "metric", F.col("spread").alias("same"))
+    return rounded(repeats.spread(rows).join(same, ["clip_id", "metric"]), 6)
+
+
 @query
 def truth_mae(spark, d):
     joint = F.concat_ws("_", "side", "joint").alias("joint")

@@ -197,6 +197,10 @@ _GAPS = [("arc_gap", "round(v1, 1)", "shot_arc_deg", 45, 1), ("vel_gap", "round(
 _RUNS = "runs as (select *, clip_id % 10 as cohort, clip_id // 10 as day from rec)"
 _FEEDBACK = "case when clip_id % 3 = 0 then 'list' when clip_id % 3 = 1 then 'text' end"
 
+# By shape of the feedback (as in the derived reports): its entries, and what they say.
+_SHAPE_COUNT = "[1, 0, 1, 0, 1, 0, 0, 0, 0, 1, 1, 3, 2]"
+_SHAPE_TEXT = """['|general|keep going', '', '|general|7.5', '', '|general|true', '', '', '', '', '|general|{{"tempo":"slow"}}', '0:01|form|steady', '|general|a word;-|power|-;|general|3', '|general|[1,2];|general|null']"""
+
 # Sports by rules: events first, then what is read at them.
 _ELBOW = f"elb as (select elbow.clip_id, elbow.f, {_ang('shoulder', 'elbow', 'wrist')} as angle from act elbow join act shoulder on shoulder.clip_id = elbow.clip_id and shoulder.f = elbow.f and shoulder.joint = 'shoulder' join act wrist on wrist.clip_id = elbow.clip_id and wrist.f = elbow.f and wrist.joint = 'wrist' join sides on sides.clip_id = elbow.clip_id where elbow.joint = 'elbow' and n >= 5)"
 _RULES = f"""
@@ -283,6 +287,12 @@ ORACLE: dict[str, str] = {
     "matched_pro": sql(_MATCHED, "select clip_id, match_name, concat('https://img.invalid/', player_id, '.png') as image_url, round(v0, 2) as release_velocity, round(v1, 1) as shot_arc, round(v2, 1) as knee_angle, round(v3, 1) as elbow_angle, round(v4, 1) as kinetic_sync_ms, round_even(v5, 0)::int as fluidity_score, round(v6, 2) as hip_rotation_deg, round_even(v7, 0)::int as balance_index from matched"),
     "metric_deltas": sql(_MATCHED, f"select clip_id, {', '.join(f'round(round({v} - coalesce(nullif(cast({m} as double), 0), {z}), 6), {p}) as {g}' for g, v, m, z, p in _GAPS)} from matched"),
     "report_normalise": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, case when clip_id % 4 = 0 then '—' else concat('Jump shot ', clip_id) end as athlete_action, case when clip_id % 5 = 0 then '—' else 'solid' end as scout_report, case when clip_id % 5 = 0 then '' else 'swish' end as witty_catchphrase, (case {_FEEDBACK} when 'list' then 2 when 'text' then 1 else 0 end)::int as n_feedback, case {_FEEDBACK} when 'list' then 'form' when 'text' then 'general' end as first_category, case {_FEEDBACK} when 'list' then 'steady' when 'text' then concat('keep going ', clip_id) end as first_observation from clips"),
+    "completed_keys": sql(",".join((X.BOX, "numbered as (select * replace (concat('Player_', row_number() over (order by PLAYER_ID) - 1) as PLAYER_NAME, row_number() over (order by PLAYER_ID) - 1 as TEAM_ID) from box)", CLEAN_BOX.replace("from box", "from numbered"), PROS)), "select id, name, player_id, v0, v1, v2, v3, v4, v5, v6, v7 from refs"),
+    "fallback_keys": sql(",".join((X.BOX, CLEAN_BOX)), f"select concat(PLAYER_ID, '_', TEAM_ID) as id, PLAYER_NAME as name, PLAYER_ID as player_id, 'all' as division from cleaned union all select concat('fallback_', i, '_', row_number() over (order by i) - 1), n, i, 'none' from (values {_SEEDS}) as s(n, i, r, a, t, f, p, g)"),
+    "player_keys": sql(",".join((X.BOX, CLEAN_BOX)), "select concat(PLAYER_ID, '_', TEAM_ID) as id, case when PLAYER_ID % 3 = 2 then PLAYER_ID + 1000 else PLAYER_ID end as player from cleaned"),
+    "report_shapes": sql(_MATCHED, f"select clip_id, (case when clip_id % 17 < 2 then 0 else list_extract({_SHAPE_COUNT}, clip_id % 13 + 1) end)::int as n_feedback, case when clip_id % 17 < 2 then '' else list_extract({_SHAPE_TEXT}, clip_id % 13 + 1) end as feedback, '—' as athlete_action, {', '.join(NAMES)}, {_tier('match_cosine')} as market_index from matched"),
+    "report_payload": sql(_MATCHED, f"select clip_id, to_json(struct_pack({', '.join(f'{m} := {m}' for m in NAMES)}))::varchar as user_stats, to_json(struct_pack(release_velocity := round(v0, 2), shot_arc := round(v1, 1), knee_angle := round(v2, 1), elbow_angle := round(v3, 1), kinetic_sync_ms := round(v4, 1), fluidity_score := round_even(v5, 0)::int, hip_rotation_deg := round(v6, 2), balance_index := round_even(v7, 0)::int))::varchar as pro_stats, to_json(struct_pack({', '.join(f'{g} := round(round({v} - coalesce(nullif(cast({m} as double), 0), {z}), 6), {p})' for g, v, m, z, p in _GAPS)}))::varchar as deltas from matched"),
+    "stream_clips": sql("e as (select user_id, ts, value, case when ts - lag(ts) over k < interval 3 hour then 0 else 1 end as fresh from {events} window k as (partition by user_id order by ts)), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e)", "select user_id as clip_id, min(ts)::timestamp as started, max(ts)::timestamp + interval 3 hour as ended, count(*) as frames, round(avg(value), 6) as mean_value from s group by user_id, session"),
     "baseline_capture": sql(_REC, f"select clip_id, metric, value as baseline, {_TOL} as tolerance from {_UNPIVOT} where not fell"),
     "drift_check": sql(_REC, f"select clip_id, count(*)::int as n, string_agg(message, '; ' order by metric) as messages from (select clip_id, metric, case when (clip_id + length(metric)) % 11 = 0 then concat(metric, ': missing') when clip_id % 9 > {_TOL} then printf('%s: expected %.2f, got %.2f, tolerance %.2f', metric, value, value + clip_id % 9, {_TOL}) end as message from {_UNPIVOT} where not fell) where message is not null group by clip_id"),
     "sport_lookup": sql(",".join((X.BASE, X.CLIPS)), f"select clip_id, {_SPORT} as sport, case {_SPORT} when 'tennis' then 'Tennis' else 'Basketball' end as name, case {_SPORT} when 'tennis' then 3e0 else 2e0 end as min_clip_sec, (case {_SPORT} when 'tennis' then 4 else 5 end)::int as phases from clips"),
@@ -293,6 +303,7 @@ ORACLE: dict[str, str] = {
     "shot_metrics": sql(",".join((_EV, _SHOTS, _CUT, _again(EVENTS, METRICS))), "select s.clip_id, s.shot::int as shot, first_f, last_f, d.side, r.d::int as dip, r.r::int as release, round(raw_knee, 4) as raw_knee, round(raw_elbow, 4) as raw_elbow, round(velocity, 4) as velocity, round(arc, 4) as arc, round(hip_rotation, 4) as hip_rotation, round(sync, 4) as sync, balance, fluidity from seg_raw r join seg s on r.clip_id = s.clip_id * 100000 + s.shot join seg_sides d on d.clip_id = r.clip_id"),
     "subject_rank": sql(X.BASE, "select clip_id, subject, size, centre_x, round(score, 7) as score from (select *, row_number() over (partition by clip_id order by score desc, subject) as place from (select clip_id, e as subject, k / 100e0 as size, (e % 101) / 100e0 as centre_x, k / 100e0 * (1 - 2 * abs((e % 101) / 100e0 - 0.5e0)) as score from wave)) where place = 1"),
     "angle_jumps": sql(",".join((_EV, _KNEE)), "select clip_id, f::int as f, round(angle, 5) as angle, round(jump, 5) as jump from (select *, abs(angle - lag(angle) over (partition by clip_id order by f)) as jump from ang) where jump > 15"),
+    "run_repeat": sql(",".join((_REC, "seg_bounds as (select * from bounds), seg_sm as (select clip_id, side, joint, n, f, x2, y2, v2, x3, y3, z3 from gap)", _again(EVENTS, METRICS, RECORD))), " union all ".join(f"select a.clip_id, '{m}' as metric, 3::bigint as runs, 2::bigint as settings, round(sqrt(2e0) / 3 * abs(a.{m} - b.{m}::double), 6) as spread, 0e0 as same from rec a join seg_rec b using (clip_id)" for m in NAMES)),
     "run_stddev": sql(",".join((_REC, _RUNS)), f"select cohort, count(*) as runs, {', '.join(f'round(stddev_pop(cast({m} as double)), 6) as {m}' for m in NAMES)} from runs group by cohort"),
     "truth_mae": sql(",".join((_POSE, WHOLE, SERIES)), "select concat(s.side, '_', s.joint) as joint, round(avg((abs(s.x2 - p.x2) + abs(s.y2 - p.y2)) / 2), 6) as mae, count(*) as frames from sm s join pose p on p.clip_id = s.clip_id and p.side = s.side and p.joint = s.joint and p.f = s.f where p.x2 is not null group by 1"),
     "expert_corr": sql(",".join((_REC, _RUNS)), "select round(corr(knee_angle, elbow_angle), 6) as knee_elbow, round(corr(balance_index, hip_rotation_deg), 6) as balance_hip from runs where status = 'ok'"),

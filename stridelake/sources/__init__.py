@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,6 @@ POSE_FRAMES = T.StructType(
 )
 CLIPS = "clip_id long, fps double, total_frames int, width int, height int, start_sec string, end_sec string"
 BOX_SCORES = "PLAYER_ID long, PLAYER_NAME string, TEAM_ID long, GP string, REB string, AST string, TOV string, FG3_PCT string, PTS string"
-REPORT = "athlete_action string, stats map<string,string>, scout_report string, athlete_feedback string, witty_catchphrase string"
 SEED_SCHEMA = "PLAYER_NAME string, PLAYER_ID long, REB double, AST double, TOV double, FG3_PCT double, PTS double, GP double"
 # The rows that stand in when no season table is at hand.
 SEED_ROWS = [
@@ -103,6 +102,18 @@ def overwrite(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positions(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of ``order``; equal rows
+    are in any order.  Rows are sorted by ranges, and a range starts after the
+    counts of those before it, of which there are as many as ranges."""
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = counts.select("_range", "_first", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    # Numbers within a task ascend one by one.
+    rows = ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+    return rows.drop("_range", "_at", "_first", "_before")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder all executors share (``spark.checkpoint.dir``);
     only where that is unset, as in tests, a local one."""
