@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.functions import angle
-from stridelake.operators import drift, ivf, match, metrics, reference, report, rules, series, shots, studies
+from stridelake.operators import drift, ivf, match, metrics, norms, reference, report, rules, series, shots, studies
 from stridelake.operators import runs as repeats
 from stridelake.plans import fixtures
 from stridelake.sources.published import latest, publish
@@ -514,6 +514,18 @@ def cohort_percentile(spark, d):
     return rounded(studies.cohort_percentiles(runs(spark, d).select("clip_id", "cohort", "knee_angle"), "cohort", "knee_angle"), 6)
 
 
+@query
+def norm_merge(spark, d):
+    """Norms of knee angles by cohort from states of three spans of days, published one
+    by one and merged."""
+    rows = runs(spark, d).select("cohort", F.col("day").cast("long").alias("day"), F.col("knee_angle").alias("value"))
+    path = shared_folder(spark)
+    for span in range(3):
+        norms.add_day(rows.where(F.col("day") % 3 == span), path, span)
+    made = norms.norms(spark, path)
+    return rounded(made.select("cohort", F.col("n").cast("long").alias("clips"), *[norms.quantile(q).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.9)], norms.rank(F.lit(145.0)).alias("rank_145"), norms.slope().alias("slope")), 5)
+
+
 @query
 def ideal_range(spark, d):
     values = drift.unpivot(runs(spark, d), ["clip_id"])

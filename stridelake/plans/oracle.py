@@ -310,6 +310,7 @@ ORACLE: dict[str, str] = {
     "benchmark_prf": sql(",".join((_REC, _RUNS)), "select tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::double, 7) as accuracy, round(tp / nullif(tp + fp, 0)::double, 7) as precision, round(tp / nullif(tp + fn, 0)::double, 7) as recall from (select count(*) filter (knee_angle > 140 and clip_id % 3 = 0) as tp, count(*) filter (knee_angle > 140 and clip_id % 3 <> 0) as fp, count(*) filter (not knee_angle > 140 and clip_id % 3 = 0) as fn, count(*) filter (not knee_angle > 140 and clip_id % 3 <> 0) as tn from runs)"),
     "metric_trend": sql(",".join((_REC, _RUNS)), "select cohort, round(regr_slope(knee_angle, day), 5) as slope, round(arg_max(moving, day), 5) as last_moving, count(*) as points from (select *, avg(knee_angle) over (partition by cohort order by day rows between 2 preceding and current row) as moving from runs) group by cohort"),
     "cohort_percentile": sql(",".join((_REC, _RUNS)), "select clip_id, cohort, knee_angle, round(percent_rank() over (partition by cohort order by knee_angle), 6) as percent_rank from runs"),
+    "norm_merge": sql(",".join((_REC, _RUNS)), f"select cohort, count(*) as clips, {', '.join(f'quantile_disc(knee_angle, {q}) as p{round(100 * q)}' for q in (0.25, 0.5, 0.9))}, round(count(*) filter (knee_angle <= 145) / count(*)::double, 5) as rank_145, round(case when min(day) < max(day) then regr_slope(knee_angle, day) end, 5) as slope from runs group by cohort"),
     "ideal_range": sql(_REC, f"select metric, count(*) as clips, sum(case when value between low and high then 1 else 0 end)::bigint as inside from {_UNPIVOT} join (values ('release_velocity_mps', 7, 9), ('shot_arc_deg', 45, 55), ('knee_angle', 140, 165), ('elbow_angle', 165, 178), ('hip_rotation_deg', 5, 15), ('kinetic_sync_ms', 120, 250), ('balance_index', 85, 99), ('fluidity_score', 75, 99)) as t(metric, low, high) using (metric) group by metric"),
     "confidence_tiers": sql(_MATCHED, "select case when confidence >= 80 then 'High' when confidence >= 50 then 'Medium' else 'Low' end as tier, count(*) as clips from matched group by 1"),
     "phase_labels": sql(_EV, "select wr.clip_id, wr.f::int as f, case when wr.f < d then 'Setup' when wr.f = d then 'Dip' when wr.f < r then 'Drive' when wr.f = r then 'Release' else 'Follow-through' end as phase from wr join ev on ev.clip_id = wr.clip_id where wr.n >= 5"),
