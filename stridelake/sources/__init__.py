@@ -126,10 +126,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once,
-    and filters above it do not copy its expressions."""
-    path = shared_folder(df.sparkSession)
+    and filters above it do not copy its expressions.  The table goes when the
+    session's driver ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def melt_pose(frames: DataFrame) -> DataFrame:
