@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize
+from stridelake.llm.common import materialize, unused
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -95,9 +95,10 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that are kept, without their frequent lines: the columns
     of ``docs``; a doc_id that stands for different texts is judged by the
     strictest of them."""
-    verdict = judge(docs, host).groupBy("doc_id").agg(F.min("kept").alias("_kept"), F.array_distinct(F.flatten(F.collect_list("frequent"))).alias("_frequent"))
-    joined = docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).where("_kept")
-    rest = rf"array_join(filter(split(text, '\\n'), l -> not (l rlike '[^\\x20\\x09-\\x0D]') or not array_contains(_frequent, xxhash64({_LINE_KEY.format('l')}))), '\n')"
+    kept, frequent, of = unused(docs, "_kept", "_frequent", "_id")
+    verdict = judge(docs, host).groupBy("doc_id").agg(F.min("kept").alias(kept), F.array_distinct(F.flatten(F.collect_list("frequent"))).alias(frequent))
+    joined = docs.join(verdict.withColumnRenamed("doc_id", of), F.col("doc_id").cast("long").eqNullSafe(F.col(of))).where(F.col(kept))
+    rest = rf"array_join(filter(split(text, '\\n'), l -> not (l rlike '[^\\x20\\x09-\\x0D]') or not array_contains({frequent}, xxhash64({_LINE_KEY.format('l')}))), '\n')"
     return joined.withColumn("text", F.expr(rest)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from stridelake.llm import line_rules as R
 from tests.oracle import compare, views
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, row long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, host string, row long, _kept string, _frequent long, _id long"
 
 
 def slow_base(text):
@@ -29,7 +29,7 @@ def test_base_counts_and_line_limits(spark):
     texts += ["\n".join([f"Shared  LINE {k}", *[word(9) + " " + word(9) for _ in range(40)], "dup dup", "dup dup"]) for k in range(60)]
     texts += ["\n".join([" ".join(f"boiler{k}x" for k in range(70)), word(12)]) for _ in range(60)]
     texts.append("many words " * 40000)
-    rows = [(i, t, "en", None if i % 50 == 0 else f"s{i % 2}", 1, "clash", 2) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", None if i % 50 == 0 else f"s{i % 2}", 1, "clash", 2, "x", 3, 4) for i, t in enumerate(texts)]
     rows.append(rows[60])
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     got = sorted(R.judge(docs).collect(), key=lambda r: (r.doc_id, r.row))
