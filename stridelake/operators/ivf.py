@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators.neighbours import QUERY_ROWS, _found, _queries, blocks, gaps, matrix, unit, visit
+from stridelake.operators.neighbours import QUERY_ROWS, _found, _queries, blocks, flat_rows, gaps, matrix, unit, visit
 from stridelake.sources.published import latest, publish, versions
 
 #: Cells of an index of ``n`` rows: the root of n, times this.
@@ -82,11 +82,11 @@ def probe(queries: DataFrame, path: str, k: int = 1, query_id: str = "clip_id",
 
     def score(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                vectors = np.array(row["v"], float)
-                best = [[] for _ in vectors]
-                visit(kind, wanted, vectors, best, np.array(row["vectors"], float).reshape(len(row["ids"]), -1), row["ids"])
-                yield _found(pa.array(row["q"], batch.schema.field("q").type.value_type), best, [len(row["ids"])] * len(best), of_id)
+            # Row by row from Arrow's buffers: a batch of blocks as Python lists takes many times its bytes.
+            for q, v, ids, vectors in zip(*(batch.column(c) for c in ("q", "v", "ids", "vectors"))):
+                best = [[] for _ in range(len(q))]
+                visit(kind, wanted, matrix(v.values), best, flat_rows(vectors, len(ids)), ids.as_py())
+                yield _found(q.values, best, [len(ids)] * len(best), of_id)
 
     met = stored.join(groups, "cell").select("ids", "vectors", "q", "v").mapInArrow(score, schema)
     each = met.select("q", "compared", F.explode_outer("best").alias("b"))
