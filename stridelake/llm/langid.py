@@ -7,9 +7,9 @@ are shuffled, and joins of the counted tables give probabilities and back-off
 weights.  Up to ``MODEL_ROWS`` entries each task holds the models as sorted hash
 arrays per order; beyond, the different words of the texts meet the tables in
 joins, with the same result.  What a model assigns to a text is the
-cross-entropy per character, and the language with the lowest wins.  A bounded sample of training texts
-calibrates the score and, per language, the cross-entropy above which a
-prediction counts as rejected.
+cross-entropy per character, and the language with the lowest wins.  The cross-entropies of
+all training texts calibrate the score and, per language, the cross-entropy above which a
+prediction counts as rejected; they are sums and counts that Spark makes.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so is
 everything when nothing was learned.  Rows with null language or null doc_id do
@@ -38,9 +38,10 @@ ORDER = 4
 MODEL_ROWS = 4_000_000
 #: Texts from which on a word's scores meet them in parts, where joins are used.
 HOT_ROWS = 200_000
-#: Training texts per language that calibrate score and rejection.
-CALIBRATION_TEXTS = 400
 REJECT_QUANTILE = 0.995
+#: Widths of the bins in which cross-entropies are counted, powers of two, so that a
+#: finer bin lies in one coarser bin.
+BINS = (2.0**-10, 2.0**-24)
 CACHE_CHUNKS = 600_000
 #: Characters looked up together.
 GROUP_CHARS = 2_000_000
@@ -272,23 +273,53 @@ class Identifier:
             out.append((self.langs[best], float(score), bool(h[best] > self.limits[best]), float(h[best])))
         return out
 
-    def calibrate(self, rows: list[tuple[str, list[float]]]) -> None:
+    def calibrate(self, measured: DataFrame) -> None:
         """Set the sharpness with the best log-likelihood, and each language's
-        rejection limit, from (language, cross-entropies) rows."""
-        seen = [(self.langs.index(lang), h) for lang, h in rows if lang in self.langs and h]
-        if not seen:
+        rejection limit, from ``measured(lang, h)``: cross-entropies of every text."""
+        if not self.langs:
             return
-        truth, table = np.array([s[0] for s in seen]), np.array([s[1] for s in seen])
-        margin = table - table[np.arange(len(truth)), truth][:, None]
+        at = F.array_position(F.array(*map(F.lit, self.langs)), F.col("lang"))
+        rows = measured.where(F.col("h").isNotNull() & F.col("lang").isin(self.langs)).select("lang", "h", F.element_at("h", at.cast("int")).alias("v"))
 
-        def loss(sharpness: float) -> float:
-            return float(np.log2(np.exp2(np.minimum(-sharpness * margin, 500)).sum(axis=1)).mean())
+        def loss(sharpness: float):
+            likely = F.transform("h", lambda x: F.pow(F.lit(2.0), F.least(F.lit(-sharpness) * (x - F.col("v")), F.lit(500.0))))
+            return F.avg(F.log2(F.aggregate(likely, F.lit(0.0), lambda s, x: s + x)))
 
-        self.sharpness = min((2.0**k for k in range(-3, 7)), key=loss)
-        for k in range(len(self.langs)):
-            own = table[truth == k, k]
-            if len(own):
-                self.limits[k] = np.quantile(own, REJECT_QUANTILE)
+        tried = [2.0**k for k in range(-3, 7)]
+        losses = rows.agg(*[loss(s).alias(f"l{k}") for k, s in enumerate(tried)]).first()
+        if losses[0] is None:
+            return
+        self.sharpness = tried[min(range(len(tried)), key=lambda k: losses[k])]
+        places = {r["lang"]: REJECT_QUANTILE * (r["count"] - 1) for r in rows.groupBy("lang").count().collect()}
+        values = ranked(rows.select("lang", "v"), [(lang, int(f(p))) for lang, p in places.items() for f in (np.floor, np.ceil)])
+        for lang, p in places.items():
+            low, high = values[lang, int(np.floor(p))], values[lang, int(np.ceil(p))]
+            self.limits[self.langs.index(lang)] = low + (high - low) * (p - np.floor(p))
+
+
+def ranked(rows: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The values at the wanted (language, rank from 0) of ``rows(lang, v)`` in ascending
+    order.  Values are counted in bins, then in finer ones inside those that hold a
+    wanted rank, then one by one: the driver gets counts, no rows."""
+    spark, left, held = rows.sparkSession, {t: t[1] for t in set(wanted)}, {t: 0 for t in set(wanted)}
+    outer = F.lit(0)
+    for width in (*BINS, None):
+        inner = F.col("v") if width is None else F.floor(F.col("v") / width)
+        bins = F.broadcast(spark.createDataFrame(sorted({(t[0], b) for t, b in held.items()}), "lang string, bin long"))
+        counted = rows.withColumn("bin", outer.cast("long")).join(bins, ["lang", "bin"]).groupBy("lang", "bin", inner.alias("x")).count().collect()
+        found: dict[tuple[str, int], list[tuple[float, int]]] = {}
+        for r in counted:
+            found.setdefault((r["lang"], r["bin"]), []).append((r["x"], r["count"]))
+        for bin_ in found.values():
+            bin_.sort()
+        for t in left:
+            for x, n in found[t[0], held[t]]:
+                if left[t] < n:
+                    break
+                left[t] -= n
+            held[t] = x
+        outer = inner
+    return held
 
 
 # -- tables ------------------------------------------------------------------
@@ -406,34 +437,41 @@ def joined_entropies(docs: DataFrame, tables: Tables) -> DataFrame:
     return rows.join(h, "_row", "left").select(*names, "h")
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Identifier:
-    """Fit on ``docs(doc_id, lang, text)`` whose language is known."""
+def learn(docs: DataFrame, order: int = ORDER) -> Identifier:
+    """Models of ``docs(doc_id, lang, text)`` whose language is known, not calibrated."""
     docs = docs.select(F.col("doc_id").cast("long"), "lang", "text").where("lang is not null and doc_id is not null")
     tables = fit_tables(materialize(gram_counts(word_counts(docs), order), "grams"), order)
     models = held_models(tables)
     found = Identifier(models if models is not None else {r["lang"]: None for r in tables.letters.collect()}, order)
     found.tables = tables if models is None else None
-    rates = {r["lang"]: CALIBRATION_TEXTS / r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not rates:
-        return found
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    measured = entropies(sample, found) if models is not None else joined_entropies(sample.select("lang", "text"), tables)
-    found.calibrate([(r["lang"], r["h"]) for r in measured.collect()])
+    return found
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Identifier:
+    """Fit and calibrate on ``docs(doc_id, lang, text)`` whose language is known."""
+    found = learn(docs, order)
+    found.calibrate(entropies(docs.where("lang is not null and doc_id is not null").select("lang", "text"), found))
     return found
 
 
 def entropies(docs: DataFrame, model: Identifier) -> DataFrame:
-    """``lang, h``: the cross-entropies under each language, null without a letter."""
+    """The columns of ``docs`` but for ``text``, and ``h``, the cross-entropies under each
+    language, null without a letter; computed once."""
+    names = [c for c in docs.columns if c != "text"]
+    if not model.langs:
+        return docs.select(*names, F.lit(None).cast("array<double>").alias("h"))
+    if model.tables is not None:
+        return materialize(joined_entropies(docs, model.tables), "entropies")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @trimmed
     def run(batches):
         for batch in batches:
-            rows = shared.value.cross_entropies([x or "" for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if h is None else h.tolist() for h in rows], pa.list_(pa.float64()))], names=["lang", "h"])
+            rows = shared.value.cross_entropies([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([None if h is None else h.tolist() for h in rows], pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "h"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, h array<double>")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return materialize(docs.select(*names, "text").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", h array<double>"), "entropies")
 
 
 def identify(docs: DataFrame, model: Identifier) -> DataFrame:
@@ -453,20 +491,24 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, bits_per_char double")
 
 
-def _judged(rows: DataFrame, model: Identifier) -> DataFrame:
-    """What ``Identifier.predict`` says, from ``doc_id, h``."""
+def _judged(rows: DataFrame, model: Identifier, *more: str) -> DataFrame:
+    """What ``Identifier.predict`` says, from ``doc_id, h``; ``more`` columns stay."""
+    if not model.langs:
+        return rows.select("doc_id", *more, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("bits_per_char"))
     none = F.col("h").isNull()
     least = F.array_min("h")
     at = F.array_position("h", least)
     limit = F.element_at(F.array(*[F.lit(float(x)) for x in model.limits]), at.cast("int"))
     score = 1.0 / F.aggregate(F.transform("h", lambda v: F.pow(F.lit(2.0), F.lit(model.sharpness) * (least - v))), F.lit(0.0), lambda t, v: t + v)
     lang = F.element_at(F.array(*map(F.lit, model.langs)), at.cast("int"))
-    return rows.select("doc_id", F.when(none, "und").otherwise(lang).alias("lang_pred"), F.when(none, 0.0).otherwise(score).alias("score"), F.coalesce(least > limit, F.lit(True)).alias("rejected"), least.alias("bits_per_char"))
+    return rows.select("doc_id", *more, F.when(none, "und").otherwise(lang).alias("lang_pred"), F.when(none, 0.0).otherwise(score).alias("score"), F.coalesce(least > limit, F.lit(True)).alias("rejected"), least.alias("bits_per_char"))
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bucket = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    model = train(docs.where(bucket != 2))
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")
+    model = learn(docs.where(bucket != 2))
+    # Every text is measured once; those that train also calibrate.
+    rows = entropies(docs.select(F.col("doc_id").cast("long"), "lang", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "text"), model)
+    model.calibrate(rows.where("lang is not null and doc_id is not null and not held_out").select("lang", "h"))
+    return _judged(rows, model, "held_out").select("doc_id", "held_out", "lang_pred", "score", "rejected", "bits_per_char")

@@ -127,3 +127,25 @@ def test_query_against_brute_force(spark):
             continue
         bits = {lang: models[lang].surprise(np.array(codes)).mean() for lang in sorted(models)}
         assert got[r.doc_id].lang_pred == min(bits, key=bits.get) and math.isclose(got[r.doc_id].bits_per_char, min(bits.values()), rel_tol=1e-9)
+
+
+def test_all_training_texts_calibrate(spark):
+    rng = random.Random(6)
+    vocab = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schön", "für"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randrange(1, 12))), lang, 0.0) for i, lang in enumerate(["en", "de"] * 1500)]
+    model = L.train(spark.createDataFrame(rows, DOCS).repartition(3))
+    h = np.array(model.cross_entropies([r[1] for r in rows]))
+    truth = np.array([model.langs.index(r[2]) for r in rows])
+    own = h[np.arange(len(rows)), truth]
+    for k in range(2):
+        assert math.isclose(model.limits[k], np.quantile(own[truth == k], L.REJECT_QUANTILE), rel_tol=1e-12)
+    loss = {2.0**k: np.log2(np.exp2(np.minimum(-(2.0**k) * (h - own[:, None]), 500)).sum(axis=1)).mean() for k in range(-3, 7)}
+    assert model.sharpness == min(loss, key=loss.get)
+
+
+def test_ranks_are_exact(spark):
+    rng = random.Random(7)
+    values = {"a": [rng.choice([0.1, 0.25, 3.0, rng.random() * 1e-6, -rng.random()]) for _ in range(500)], "b": [2.5]}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "lang string, v double").repartition(3)
+    wanted = [("a", k) for k in (0, 1, 250, 498, 499)] + [("b", 0)]
+    assert L.ranked(rows, wanted) == {(k, n): sorted(values[k])[n] for k, n in wanted}
