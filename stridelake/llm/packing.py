@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import materialize, small_side, trimmed
+from stridelake.llm.common import materialize, small_batches, small_side, trimmed
 
 LIMIT = 4096
 END_ID = 1
@@ -35,6 +36,8 @@ END_ID = 1
 PARTNERS = 24
 #: Bytes of text encoded together.
 GROUP_BYTES = 6_000_000
+#: Lines the library encodes at once: its encodings take many times their text.
+LINES = 32
 
 
 class ChunkTokenizer:
@@ -68,12 +71,12 @@ class ChunkTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(found.ids, np.uint32) for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return list(_encoded(self.library, texts))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words in a row, and how many each has."""
         lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
-        ids = np.concatenate([np.array(found.ids, np.uint32) for found in self.words.encode_batch_fast(lines, add_special_tokens=False)] or [np.empty(0, np.uint32)])
+        ids = np.concatenate([*_encoded(self.words, lines), np.empty(0, np.uint32)])
         sizes = np.diff(np.concatenate(([0], np.flatnonzero(self.ends_word[ids]) + 1)))
         if len(sizes) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
@@ -123,6 +126,13 @@ class ChunkTokenizer:
         return flat, counts
 
 
+def _encoded(library, texts: list[str]) -> Iterator[np.ndarray]:
+    """Ids of each text, encoded ``LINES`` at a time."""
+    for k in range(0, len(texts), LINES):
+        for found in library.encode_batch_fast(texts[k : k + LINES], add_special_tokens=False):
+            yield np.array(found.ids, np.uint32)
+
+
 def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``which`` of ``flat``, whose runs have ``sizes``, in a row."""
     starts = np.cumsum(sizes) - sizes
@@ -285,27 +295,25 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     # task's own before it.  Only counts are ordered, never the pieces of a
     # length that a third of all rows may share.
     before = materialize(counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")), "ranks")
-    ranked = cut.join(small_side(before, 32), ["length", "task"]).withColumn("_rank", F.col("before") + F.col("nth"))
-    fields = [f for f in cut.schema if f.name not in ("task", "nth")]
-    out = [f.name for f in fields]
-    ranked = ranked.select(*out, "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    ranked = cut.join(small_side(before, 32), ["length", "task"])
+    out = [c for c in cut.columns if c not in ("task", "nth")]
 
-    @trimmed
-    def run(batches):
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(own: pa.Array, rank: pa.Array) -> pa.Array:
         keys, firsts, sequences, offsets = key.value
-        for batch in batches:
-            own, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
-            at = np.searchsorted(keys, own << 40 | rank, "right") - 1
-            extra = [pa.array(sequences[at] + rank - firsts[at]), pa.array(offsets[at])]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in out] + extra, names=[*out, "sequence_id", "offset"])
+        own, rank = own.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, own << 40 | rank, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(sequences[at] + rank - firsts[at]), pa.array(offsets[at])], names=["sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    # Only lengths and ranks go through Python, never the ids beside them.
+    return ranked.withColumn("_place", place("length", F.col("before") + F.col("nth"))).select(*out, "_place.sequence_id", "_place.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """Pieces with their places; the ids themselves are there if asked for."""
-    return pack(materialize(pieces(docs, path, limit, with_ids), "pieces"), limit)
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, path, limit, with_ids), "pieces")
+    return pack(cut, limit)
 
 
 def op7_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -65,3 +65,27 @@ def test_table(spark, monkeypatch):
             at += length
         assert at <= 4096
     assert P.pack_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_memory_of_workers(spark, monkeypatch):
+    """Texts come in short batches and are encoded some lines at a time; ids stay
+    out of the workers that place pieces."""
+    name, seen, made = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label: (seen.setdefault(label, spark.conf.get(name)), made(df, label))[1])
+    before = spark.conf.get(name)
+    got = P.pack_documents(spark.createDataFrame([(k, "some words " * k) for k in range(30)], "doc_id long, text string"), PATH, with_ids=True)
+    assert int(seen["pieces"]) <= 1000 and spark.conf.get(name) == before
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert sorted(len(r["ids"]) for r in got.collect()) == [2 * k + 1 for k in range(30)]
+
+    class Library:
+        most = 0
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.most = max(self.most, len(texts))
+            return [type("Found", (), {"ids": [len(t)]}) for t in texts]
+
+    library = Library()
+    assert [int(v[0]) for v in P._encoded(library, ["x" * k for k in range(100)])] == list(range(100))
+    assert library.most <= P.LINES
