@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridelake.functions import round_off
 from stridelake.sources import shared_folder
 
 GAP = "3 hours"
@@ -16,7 +17,7 @@ def closed_clips(frames: DataFrame, gap: str = GAP, lateness: str = LATENESS) ->
     ``frames(user_id, ts, value)``.  On a stream a session is emitted once its
     gap has passed the watermark; later frames of it are dropped."""
     rows = frames.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-    made = rows.agg(F.count("*").alias("frames"), F.round(F.avg("value"), 6).alias("mean_value"))
+    made = rows.agg(F.count("*").alias("frames"), round_off(F.avg("value"), 6).alias("mean_value"))
     return made.select(F.col("user_id").alias("clip_id"), F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "frames", "mean_value")
 
 
