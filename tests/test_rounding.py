@@ -43,3 +43,13 @@ def test_key_frames_take_the_sql_rounding(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 5, ch(y), ch(y))], "clip_id long, n int, wrist struct<y2: array<double>>, knee struct<y2: array<double>>")
     monkeypatch.setattr(jobs, "sided", lambda *_: rows)
     assert {r["key"]: r["f"] for r in jobs.key_frames(spark, BASE).collect()} == {"dip": 1, "release": 0, "bend": 1}
+
+
+def test_zero_keeps_its_sign(spark):
+    """As in the SQL, where a text of -0.04 at one place is -0.0."""
+    values = [-0.04, 0.04, -0.0, 0.0, -0.05, -7.0]
+    with duckdb.connect() as con:
+        want = [con.execute("select round(?::double, 1)", [v]).fetchone()[0] for v in values]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r[0] for r in rows.orderBy("k").select(F.to_json(F.struct(round_off("v", 1).alias("v")))).collect()]
+    assert got == [f'{{"v":{w!r}}}' for w in want] and got[0] == '{"v":-0.0}'
